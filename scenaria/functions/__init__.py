@@ -3,6 +3,7 @@
 from scenaria.functions.numeric import (  # noqa: F401
     carrier_equivalent,
     discount_factor,
+    lookup,
     percent_of,
     recode,
     scaled,

@@ -93,3 +93,14 @@ def recode(c: Column | str, mapping: Mapping[str, str]) -> Column:
         hit = c.isin(olds)
         out = F.when(hit, F.lit(new)) if out is None else out.when(hit, F.lit(new))
     return c if out is None else out.otherwise(c)
+
+
+def lookup(c: Column | str, mapping: Mapping[str, str]) -> Column:
+    """Named lookup: the mapped value, NULL for a name the mapping lacks."""
+    c, out = _c(c), None
+    by_label: dict[str, list[str]] = {}
+    for name, label in mapping.items():
+        by_label.setdefault(label, []).append(name)
+    for label, found in by_label.items():
+        out = F.when(c.isin(found), F.lit(label)) if out is None else out.when(c.isin(found), F.lit(label))
+    return F.lit(None).cast("string") if out is None else out

@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenaria.functions import strict_sum
 from scenaria.operators.joins import natural_join
 
 Domain = Sequence[Any] | DataFrame | None
@@ -98,7 +99,7 @@ def densify(df: DataFrame, ids: Sequence[str], along: str, value: str = "value",
 def complete_series(
     df: DataFrame,
     group: Sequence[str],
-    along: str,
+    along: str | Sequence[str],
     domain: Sequence[Any] | Column,
     value: str = "value",
     fill: Any = None,
@@ -106,17 +107,23 @@ def complete_series(
 ) -> DataFrame:
     """Supply a fixed domain within each group.
 
-    ``fill`` also replaces values that are NULL already. Rows of the group
-    outside the domain are kept unless ``keep_outside`` is off. (group, along)
-    must be unique.
+    ``along`` is one column, or several with a domain of tuples. ``fill`` also
+    replaces values that are NULL already. Rows of the group outside the domain
+    are kept unless ``keep_outside`` is off. (group, along) must be unique.
     """
-    grid = domain if isinstance(domain, Column) else _lits(domain)
-    cells = F.map_from_entries(F.collect_list(F.struct(along, value)))
+    if isinstance(along, str):
+        key, back = F.col(along), [F.col("__k").alias(along)]
+        grid = domain if isinstance(domain, Column) else _lits(domain)
+    else:
+        key, back = F.struct(*along), [F.col(f"__k.{c}").alias(c) for c in along]
+        typed = [[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(along, step)] for step in domain]
+        grid = F.array(*[F.struct(*step) for step in typed])
+    cells = F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col(value).alias("v"))))
     packed = df.groupBy(*group).agg(cells.alias("__m"))
     steps = F.array_union(grid, F.map_keys("__m")) if keep_outside else grid
-    rows = packed.select(*group, "__m", F.explode(steps).alias(along))
-    cell = F.col("__m")[F.col(along)]
-    return rows.select(*group, along, (cell if fill is None else F.coalesce(cell, F.lit(fill))).alias(value))
+    rows = packed.select(*group, "__m", F.explode(steps).alias("__k"))
+    cell = F.col("__m")[F.col("__k")]
+    return rows.select(*group, *back, (cell if fill is None else F.coalesce(cell, F.lit(fill))).alias(value))
 
 
 def _grid(df: DataFrame, keys: Sequence[str], domains: Mapping[str, Domain], value: str | None) -> DataFrame:
@@ -155,12 +162,12 @@ def complete_sum(
     value: str = "value",
     domains: Mapping[str, Domain] | None = None,
 ) -> DataFrame:
-    """Grouped sum over the completed key product, absent cells zero.
+    """Grouped sum over the completed key product, absent and NULL cells zero.
 
     The grid joins in as zero rows before the sum, so completion costs no
     join: facts and grid share the one shuffle of the aggregation.
     """
-    facts = df.groupBy(*keys).agg(F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias(value))
+    facts = df.groupBy(*keys).agg(F.coalesce(strict_sum(value), F.lit(0.0)).alias(value))
     grid = _grid(facts, keys, domains or {}, value).select(*keys, F.lit(0.0).alias(value))
     return facts.unionByName(grid).groupBy(*keys).agg(F.sum(value).alias(value))
 

@@ -14,6 +14,7 @@ from scenaria.functions import (
     first_match,
     link_label,
     link_scope,
+    lookup,
     recode,
     same_site,
     scaled,
@@ -226,13 +227,11 @@ def installed_vs_potential(
     """
     wanted = F.col("R").isin(list(technologies)) & detect("N", region_pattern)
     limit = maximum.filter(wanted).select("N", "R", F.col("value").alias("limit"))
-    built = installed.filter(wanted)
-    parts = [
-        natural_join(built.filter(F.col("Sc") == code).drop("Sc"), limit, "right", on=["N", "R"])
-        .na.fill({"value": 0.0})
-        .select("N", "R", "value", F.lit(label).alias("Sv"))
-        for code, label in scenarios.items()
-    ]
-    parts.append(limit.select("N", "R", F.col("limit").alias("value"), F.lit(maximum_label).alias("Sv")))
-    stacked = union_rows(*parts).withColumn("R", recode("R", technologies))
-    return grouped_sum(stacked, ["N", "Sv", "R"])
+    codes = F.array(*[F.lit(c) for c in scenarios])
+    asked = limit.select("N", "R", F.explode(codes).alias("Sc"))
+    built = natural_join(installed.filter(wanted), asked, "right", on=["Sc", "N", "R"]).na.fill({"value": 0.0})
+    rows = union_rows(
+        built.select("N", "R", "value", lookup("Sc", scenarios).alias("Sv")),
+        limit.select("N", "R", F.col("limit").alias("value"), F.lit(maximum_label).alias("Sv")),
+    )
+    return grouped_sum(rows.withColumn("R", recode("R", technologies)), ["N", "Sv", "R"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenaria import vocab
-from scenaria.functions import capture, detect, discount_factor, first_match, percent_of, recode, same_prefix, strict_sum, strip_bus
+from scenaria.functions import detect, discount_factor, first_match, lookup, percent_of, recode, same_prefix, strict_sum, strip_bus
 from scenaria.operators import (
     allocate_to_ends,
     carry_backward,
@@ -24,28 +24,29 @@ from scenaria.operators import (
     union_rows,
     with_totals,
 )
-from scenaria.sources import inline_table
 
 
-def asset_cost(gen_inv: DataFrame, sto_inv: DataFrame, gen_fom: DataFrame, sto_fom: DataFrame, gen_vom: DataFrame) -> DataFrame:
-    """Generation and storage cost by class; unmapped technologies keep a NULL class.
+def stack_symbols(**tables: DataFrame) -> DataFrame:
+    """Cost symbols read from separate files as one table, tagged ``symbol``."""
+    return union_rows(*[df.withColumn("symbol", F.lit(name)) for name, df in tables.items()])
 
-    The five tables are stacked with their class and summed once.
-    """
-    codes = inline_table(gen_inv.sparkSession, "R string, Sv string", list(vocab.GENERATOR_COST_CLASS.items()))
-    cols = ["Sc", "N", "Sv", "YEAR", "value"]
 
-    def whole(df: DataFrame) -> DataFrame:
-        return df.filter(F.col("SE0") == "ALL").drop("SE0")
+def asset_cost(symbols: DataFrame) -> DataFrame:
+    """Generation and storage cost by class; unmapped technologies keep a NULL class.
 
-    parts = [
-        natural_join(whole(gen_inv), codes, on=["R"]).select(*cols),
-        whole(sto_inv).withColumn("Sv", F.lit("CAPEX (battery)")).select(*cols),
-        whole(gen_fom).withColumn("Sv", F.lit("OPEX")).select(*cols),
-        whole(sto_fom).withColumn("Sv", F.lit("OPEX")).select(*cols),
-        whole(gen_vom).withColumn("Sv", F.lit("Fuel")).select(*cols),
-    ]
-    return grouped_sum(union_rows(*parts), ["Sc", "N", "Sv", "YEAR"])
+    ``symbols`` holds gen_inv, sto_inv, gen_fom, sto_fom and gen_vom rows
+    (symbol, Sc, N, R, SE0, YEAR, value). The class is a column, so all symbols
+    share one pass and one grouped sum.
+    """
+    symbol = F.col("symbol")
+    cost_class = (
+        F.when(symbol == "gen_inv", lookup("R", vocab.GENERATOR_COST_CLASS))
+        .when(symbol == "sto_inv", "CAPEX (battery)")
+        .when(symbol.isin("gen_fom", "sto_fom"), "OPEX")
+        .when(symbol == "gen_vom", "Fuel")
+    )
+    rows = symbols.filter(F.col("SE0") == "ALL").withColumn("Sv", cost_class)
+    return grouped_sum(rows, ["Sc", "N", "Sv", "YEAR"])
 
 
 def link_cost_class() -> Column:
@@ -60,17 +61,16 @@ def link_cost_class() -> Column:
     )
 
 
-def link_cost(lnk_inv: DataFrame, lnk_fom: DataFrame, lnk_vom: DataFrame) -> DataFrame:
+def link_cost(symbols: DataFrame) -> DataFrame:
     """Link cost by node and class: domestic links are charged to their first
-    end, cross-border links half to each end."""
-    stacked = union_rows(
-        lnk_inv.withColumn("Sv", F.lit(None).cast("string")),
-        lnk_fom.withColumn("Sv", F.lit("OPEX")),
-        lnk_vom.withColumn("Sv", F.lit("Fuel")),
-    ).withColumn("__inv", F.col("Sv").isNull())
-    ends = split_link(stacked, "L").withColumns({"N0": strip_bus("N0"), "N1": strip_bus("N1")})
-    rows = ends.withColumn("Sv", F.when(F.col("__inv"), link_cost_class()).otherwise(F.col("Sv")))
-    return allocate_to_ends(rows, ~same_prefix("N0", "N1"), ["Sc", "Sv", "YEAR"])
+    end, cross-border links half to each end. ``symbols`` holds lnk_inv,
+    lnk_fom and lnk_vom rows (symbol, Sc, L, YEAR, value)."""
+    symbol = F.col("symbol")
+    ends = split_link(symbols, "L").withColumns({"N0": strip_bus("N0"), "N1": strip_bus("N1")})
+    cost_class = (
+        F.when(symbol == "lnk_inv", link_cost_class()).when(symbol == "lnk_fom", "OPEX").when(symbol == "lnk_vom", "Fuel")
+    )
+    return allocate_to_ends(ends.withColumn("Sv", cost_class), ~same_prefix("N0", "N1"), ["Sc", "Sv", "YEAR"])
 
 
 def annual_increment(
@@ -189,7 +189,3 @@ def cost_per_decade(
 def strict_gdp_total(gdp: DataFrame) -> DataFrame:
     """One row: GDP over all countries."""
     return gdp.agg(strict_sum("GDP").alias("GDP"))
-
-
-def link_origin_of(c: str = "L") -> Column:
-    return capture(c, vocab.LINK_ORIGIN)

@@ -19,14 +19,9 @@ def demand_by_carrier(demand: DataFrame, labels: Mapping[str, str], keep: Sequen
     """Demand per carrier, scenario and year; every listed pair is present per carrier."""
     rows = labelled(demand.filter(F.col("I").isin(list(carriers))), labels, keep)
     total = grouped_sum(rows.select("I", "Sc", to_number("Y").alias("Y"), "value"), ["I", "Y", "Sc"])
-    # a (scenario, year) pair is one step of the domain; the key packs both
-    pair = F.concat_ws("|", "Sc", F.col("Y").cast("string"))
-    domain = [f"{s}|{y}" for s in keep for y in years]
-    packed = total.select("I", pair.alias("__k"), "value")
-    dense = complete_series(packed, ["I"], "__k", domain, fill=0.0)
-    parts = F.split("__k", r"\|")
-    out = dense.select(recode("I", carriers).alias("I"), parts[0].alias("Sc"), to_number(parts[1]).alias("Y"), "value")
-    return out
+    domain = [(s, y) for s in keep for y in years]
+    dense = complete_series(total, ["I"], ["Sc", "Y"], domain, fill=0.0)
+    return dense.withColumn("I", recode("I", carriers))
 
 
 def demand_by_country(demand: DataFrame, labels: Mapping[str, str], keep: Sequence[str], carrier: str, years: Sequence[int] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenaria import vocab
-from scenaria.functions import detect, recode, sign_flip
+from scenaria.functions import detect, sign_flip
 from scenaria.operators import collapse, grouped_sum, natural_join
 from scenaria.plans.mix import without_losses
 
@@ -57,7 +57,3 @@ def symbol_boxes(mix: DataFrame, nodes: DataFrame, divisor: float = vocab.SYMBOL
         (F.col("centroid_y") - F.col("half")).alias("ymin"),
         (F.col("centroid_y") + F.col("half")).alias("ymax"),
     )
-
-
-def country_labels(df: DataFrame, mapping: Mapping[str, str], col: str = "Sr") -> DataFrame:
-    return df.withColumn(col, recode(col, mapping))

@@ -21,7 +21,6 @@ from scenaria.functions import (
 )
 from scenaria.operators import (
     complete_sum,
-    contrast,
     country_net_flow,
     directed_flow,
     extents,
@@ -158,8 +157,3 @@ def node_energy_balance(panel: DataFrame, nodes: DataFrame, scenarios: DataFrame
     """Trade of each node with its map attributes."""
     rows = panel.filter((F.col("Sv") == variable) & detect("Sr", node_pattern) & (F.col("Y5") == year))
     return with_scenario_category(natural_join(rows, nodes, on=["Sr"]), scenarios)
-
-
-def flow_delta(yearly: DataFrame, plus: str, minus: str) -> DataFrame:
-    """Difference of yearly trade between two scenarios."""
-    return contrast(yearly, ["Sr", "Sv"], "Sc", plus, minus, fill=0.0)
