@@ -338,10 +338,10 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
             _by_value(F.col("l_linestatus"), {"F": "AC"}, "AC2").alias("I"),
             F.concat(F.lit("m"), F.lpad(F.month("l_shipdate").cast("string"), 2, "0")).alias("MT"),
         )
-        .agg(F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("s"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("s"), F.count(F.lit(1)).alias("lines"))
     )
     rows = monthly.withColumn("MT", F.explode(F.array(F.col("MT"), F.lit("ANN"))))
-    return rows.groupBy("Sc", "N", "I", "MT").agg((F.sum("s") / F.sum("n")).alias("value"))
+    return rows.groupBy("Sc", "N", "I", "MT").agg((F.sum("s") / F.sum("lines")).alias("value"))
 
 
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,13 @@ from scenaria.plans import balance
 from scenaria.workload import emulate as em
 from scenaria.workload import oracle as o
 from scenaria.workload.q_mix import scenario_table
-from scenaria.workload.registry import query, rounded
+from scenaria.workload.registry import as_text, query, rounded
 
 YEAR = 2024
 WINDOW = ("2024-01-08", "2024-01-14")
 FIRST, LAST = hour_window(*WINDOW)
-STAMP = f"TIMESTAMP '{YEAR}-01-01 00:00:00' + to_hours(CAST(T + 23 AS INTEGER))"
+STAMP = f"strftime(TIMESTAMP '{YEAR}-01-01 00:00:00' + to_hours(CAST(T + 23 AS INTEGER)), '%Y-%m-%d %H:%M:%S')"
+DAY = f"strftime(DATE '{YEAR}-01-01' + (D - 1), '%Y-%m-%d')"
 SIGNED = o.flip("Sv", "value", vocab.HOURLY_OUTFLOWS)
 
 
@@ -41,33 +42,33 @@ def daily_balance(spark, d):
 @query(
     "T37 D5 F1 P8 X13 X20",
     f"""
-    SELECT Sc, Sv, Sr, DATE '{YEAR}-01-01' + (D - 1) AS D, cat1, cat2, round({SIGNED} / 1000, 6) AS value,
+    SELECT Sc, Sv, Sr, {DAY} AS D, cat1, cat2, round({SIGNED} / 1000, 6) AS value,
            strftime(DATE '{YEAR}-01-01' + (D - 1), '%b %d') AS label
     FROM fx_da WHERE Sr = 'JPN' AND value <> 0""",
 )
 def daily_dated_view(spark, d):
     view = balance.dispatch_daily_summary(daily_of(spark, d), "JPN", YEAR)
-    return rounded(view, digits=6).withColumn("label", month_day("D"))
+    return as_text(rounded(view, digits=6).withColumn("label", month_day("D")), "D")
 
 
 @query(
     "D6",
     f"""
-    SELECT Sc, Sv, Sr, DATE '{YEAR}-01-01' + (D - 1) AS D, cat1, cat2, round({SIGNED} / 1000, 6) AS value
+    SELECT Sc, Sv, Sr, {DAY} AS D, cat1, cat2, round({SIGNED} / 1000, 6) AS value
     FROM fx_da WHERE Sr = 'KR' AND Sc = 'w/ grid' AND value <> 0""",
 )
 def dispatch_daily_scenario(spark, d):
-    return rounded(balance.dispatch_daily_scenario(daily_of(spark, d), "KR", YEAR, "w/ grid"), digits=6)
+    return as_text(rounded(balance.dispatch_daily_scenario(daily_of(spark, d), "KR", YEAR, "w/ grid"), digits=6), "D")
 
 
 @query(
     "T37 F5",
     f"""
-    SELECT Sc, Sv, Sr, DATE '{YEAR}-01-01' + (D - 1) AS D, cat1, cat2, round({SIGNED} / 1000, 6) AS value
+    SELECT Sc, Sv, Sr, {DAY} AS D, cat1, cat2, round({SIGNED} / 1000, 6) AS value
     FROM fx_da WHERE Sr = 'JPN' AND value <> 0 AND (Sc = 'w/ grid' OR Sv <> 'Trd_Sec_Ene_Ele')""",
 )
 def daily_view_trade_hidden(spark, d):
-    return rounded(balance.daily_view(daily_of(spark, d), "JPN", YEAR, trade_only_in="w/ grid"), digits=6)
+    return as_text(rounded(balance.daily_view(daily_of(spark, d), "JPN", YEAR, trade_only_in="w/ grid"), digits=6), "D")
 
 
 @query(
@@ -77,7 +78,7 @@ def daily_view_trade_hidden(spark, d):
     FROM fx_hr WHERE Sr = 'JPN' AND T BETWEEN {FIRST} AND {LAST} AND value <> 0""",
 )
 def hour_window_view(spark, d):
-    return rounded(balance.dispatch_hourly_summary(balance_of(spark, d), WINDOW, "JPN", YEAR), digits=6)
+    return as_text(rounded(balance.dispatch_hourly_summary(balance_of(spark, d), WINDOW, "JPN", YEAR), digits=6), "T")
 
 
 @query(
@@ -87,7 +88,7 @@ def hour_window_view(spark, d):
     FROM fx_hr WHERE Sr = 'JPN' AND Sc = 'w/ grid' AND T BETWEEN {FIRST} AND {LAST} AND value <> 0""",
 )
 def dispatch_hourly_scenario(spark, d):
-    return rounded(balance.dispatch_hourly_scenario(balance_of(spark, d), WINDOW, "JPN", YEAR, "w/ grid"), digits=6)
+    return as_text(rounded(balance.dispatch_hourly_scenario(balance_of(spark, d), WINDOW, "JPN", YEAR, "w/ grid"), digits=6), "T")
 
 
 @query(
@@ -102,7 +103,7 @@ def dispatch_hourly_scenario(spark, d):
 def window_with_overlay(spark, d):
     bars = balance.hourly_window(balance_of(spark, d), "JPN", YEAR, WINDOW)
     line = balance.demand_line(em.hourly(spark, d), "JPN", YEAR, WINDOW, em.EVENT_SCENARIO)
-    return rounded(balance.window_with_overlay(bars, line), digits=6)
+    return as_text(rounded(balance.window_with_overlay(bars, line), digits=6), "T")
 
 
 _ROLES = {

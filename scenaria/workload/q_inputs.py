@@ -12,7 +12,7 @@ from scenaria.plans import inputs, maps
 from scenaria.workload import emulate as em
 from scenaria.workload import oracle as o
 from scenaria.workload.q_mix import SHOWN, fossil_mix_of
-from scenaria.workload.registry import query, rounded
+from scenaria.workload.registry import as_text, query, rounded
 
 KEEP = ["NoPOL", "w/o grid"]
 YEARS = list(range(2005, 2051, 5))
@@ -152,15 +152,15 @@ def scalar_strings(spark, d):
     f"""
     WITH s AS (SELECT DISTINCT 'D' || lpad(CAST(dayofyear(ts) AS VARCHAR), 3, '0') || 'H' || lpad(CAST(hour(ts) AS VARCHAR), 2, '0') AS St,
                       CAST(ts AS DATE) AS day, CAST(year(ts) AS INTEGER) AS yr FROM events)
-    SELECT St, day, CAST({o.slice_hour('St')} AS INTEGER) AS h, CAST({o.slice_hour('St', 9)} AS INTEGER) AS h9,
+    SELECT St, strftime(day, '%Y-%m-%d') AS day, CAST({o.slice_hour('St')} AS INTEGER) AS h, CAST({o.slice_hour('St', 9)} AS INTEGER) AS h9,
       CAST(floor(({o.slice_hour('St', 9)} - 1) / 24) + 1 AS INTEGER) AS d9,
-      DATE '2050-01-01' + CAST(floor(({o.slice_hour('St', 9)} - 1) / 24) AS INTEGER) AS day9,
-      TIMESTAMP '2050-01-01 00:00:00' + to_hours(CAST({o.slice_hour('St')} + 8 AS INTEGER)) AS stamp,
-      strftime(day, '%b %d') AS label, date_trunc('year', day)::DATE AS jan1,
+      strftime(DATE '2050-01-01' + CAST(floor(({o.slice_hour('St', 9)} - 1) / 24) AS INTEGER), '%Y-%m-%d') AS day9,
+      strftime(TIMESTAMP '2050-01-01 00:00:00' + to_hours(CAST({o.slice_hour('St')} + 8 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS stamp,
+      strftime(day, '%b %d') AS label, strftime(date_trunc('year', day), '%Y-%m-%d') AS jan1,
       CAST((day - date_trunc('year', day)::DATE) * 24 + 1 AS INTEGER) AS first_hour,
       CAST((day - date_trunc('year', day)::DATE) * 24 + 24 AS INTEGER) AS last_hour,
       {o.year_bin('yr')} AS bin, round(pow(0.95, yr - 2020), 10) AS discount,
-      TRY_CAST(substr(St, 1, 4) AS INTEGER) AS unreadable, CAST(abs(1 - {o.slice_hour('St')}) AS INTEGER) AS back
+      coalesce(TRY_CAST(substr(St, 1, 4) AS INTEGER), -1) AS unreadable, CAST(abs(1 - {o.slice_hour('St')}) AS INTEGER) AS back
     FROM s""",
 )
 def scalar_dates(spark, d):
@@ -169,7 +169,7 @@ def scalar_dates(spark, d):
     st = F.concat(F.lit("D"), pad(F.dayofyear("ts"), 3), F.lit("H"), pad(F.hour("ts"), 2))
     s = e.select(st.alias("St"), F.to_date("ts").alias("day"), F.year("ts").alias("yr")).distinct()
     first, last = hour_window_columns("day", "day")
-    return s.select(
+    out = s.select(
         "St",
         "day",
         fn.slice_hour("St").alias("h"),
@@ -183,6 +183,7 @@ def scalar_dates(spark, d):
         last.alias("last_hour"),
         fn.year_bin("yr").alias("bin"),
         F.round(fn.discount_factor("yr"), 10).alias("discount"),
-        fn.to_number(fn.sub("St", 1, 4)).alias("unreadable"),
+        F.coalesce(fn.to_number(fn.sub("St", 1, 4)), F.lit(-1)).alias("unreadable"),
         F.abs(1 - fn.slice_hour("St")).alias("back"),
     )
+    return as_text(out, "day", "day9", "stamp", "jan1")

@@ -158,12 +158,13 @@ _ORDER = ["North", "East", "Centre", "JP-15"]
     f"""
     SELECT Sc, Sv, Y5, cat1, cat2, round(value, 4) AS value,
            CASE WHEN r IN {o.in_list(_ORDER)} THEN r END AS Sr,
-           CAST(list_position([{', '.join(o.lit(x) for x in _ORDER)}], r) AS INTEGER) AS ord
+           CAST(coalesce(list_position([{', '.join(o.lit(x) for x in _ORDER)}], r), 0) AS INTEGER) AS ord
     FROM (SELECT *, {o.recode('Sr', _GROUPS)} AS r FROM fx_mix
           WHERE Y5 = {em.BIN_YEAR} AND Sr LIKE 'JP-%' AND Sc IN {o.in_list(SHOWN)} AND {NO_LOSS})""",
 )
 def subnational_mix(spark, d):
-    return rounded(mix.subnational_mix(mix_of(spark, d), "JP-", SHOWN, em.BIN_YEAR, _GROUPS, _ORDER))
+    out = mix.subnational_mix(mix_of(spark, d), "JP-", SHOWN, em.BIN_YEAR, _GROUPS, _ORDER)
+    return rounded(out).na.fill({"ord": 0})
 
 
 @query(

@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenaria import vocab
+from scenaria.functions import recode
 from scenaria.operators import country_net_flow, directed_flow
 from scenaria.plans import trade
 from scenaria.workload import emulate as em
 from scenaria.workload import oracle as o
 from scenaria.workload.q_capacity import corridors_of
 from scenaria.workload.q_mix import annual_panel_of, scenario_table
-from scenaria.workload.registry import query, rounded
+from scenaria.workload.registry import as_text, query, rounded
 
 Y = em.PLOT_YEAR
 NAMES = {"CHN": "China", "JPN": "Japan", "KOR": "Korea", "MNG": "Mongolia"}
 
 
-def signed_of(spark, d, value="snd", labels=False):
-    out = trade.flow_of_links(em.flows(spark, d), Y, F.col("L").rlike(vocab.AC_LINK), value)
-    return out
+def signed_of(spark, d, value="snd"):
+    return trade.flow_of_links(em.flows(spark, d), Y, F.col("L").rlike(vocab.AC_LINK), value)
 
 
 def _labelled(df):
-    from scenaria.functions import recode
-
     return df.withColumn("Sc", recode("Sc", em.LABELS))
 
 
@@ -139,23 +137,25 @@ _CF = f"""
 @query(
     "T29 P21 A1 R4 X21 X14 X15 X16 J9",
     f"""{_CF}
-    SELECT Sc, Sv, St, round(value, 4) AS value, T, CAST(T + INTERVAL 9 HOUR AS DATE) AS D, CAST(hour(T) AS INTEGER) AS H
+    SELECT Sc, Sv, St, round(value, 4) AS value, strftime(T, '%Y-%m-%d %H:%M:%S') AS T,
+           strftime(T + INTERVAL 9 HOUR, '%Y-%m-%d') AS D, CAST(hour(T) AS INTEGER) AS H
     FROM heat""",
 )
 def flow_heatmap(spark, d):
-    return rounded(heat_of(spark, d))
+    return as_text(rounded(heat_of(spark, d)), "T", "D")
 
 
 @query(
     "T29 J5",
     f"""{_CF}
-    SELECT h.Sc, h.Sv, h.St, h.T, CAST(h.T + INTERVAL 9 HOUR AS DATE) AS D, CAST(hour(h.T) AS INTEGER) AS H,
+    SELECT h.Sc, h.Sv, h.St, strftime(h.T, '%Y-%m-%d %H:%M:%S') AS T, strftime(h.T + INTERVAL 9 HOUR, '%Y-%m-%d') AS D, CAST(hour(h.T) AS INTEGER) AS H,
            round(c.value, 4) AS vfs, round(100.0 * h.value / nullif(c.value, 0), 4) AS value
     FROM heat h LEFT JOIN fx_corridor c
       ON c.Sc = h.Sc AND c.Sv = h.Sv AND c.Y5 = {em.BIN_YEAR} AND c.Sv NOT LIKE '%domestic%'""",
 )
 def flow_utilisation(spark, d):
-    return rounded(trade.utilisation(heat_of(spark, d), corridors_of(spark, d), em.BIN_YEAR), "value", "vfs")
+    out = trade.utilisation(heat_of(spark, d), corridors_of(spark, d), em.BIN_YEAR)
+    return as_text(rounded(out, "value", "vfs"), "T", "D")
 
 
 @query(

@@ -39,3 +39,10 @@ def rounded(df: DataFrame, *cols: str, digits: int = 4, divisor: float | None =
     """Round measures for comparison: double sums depend on the order of rows."""
     scale = (lambda c: F.col(c) / F.lit(divisor)) if divisor else F.col
     return df.withColumns({c: F.round(scale(c), digits) for c in cols or ("value",)})
+
+
+def as_text(df: DataFrame, *cols: str) -> DataFrame:
+    """Dates and timestamps as ISO text, which both engines print alike."""
+    kind = dict(df.dtypes)
+    fmt = {c: "yyyy-MM-dd" if kind[c] == "date" else "yyyy-MM-dd HH:mm:ss" for c in cols}
+    return df.withColumns({c: F.date_format(c, f) for c, f in fmt.items()})
