@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenaria.operators.joins import natural_join
-from scenaria.sources.inline import inline_table
+from scenaria.sources.inline import inline_table, sql_literal
 
 
 def category_rank(c: Column | str, levels: Sequence[str]) -> Column:
     """1-based position in the level list; NULL outside of it."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in levels]), c), F.lit(0)).cast("int")
+    return F.nullif(F.array_position(F.expr("array(" + ", ".join(sql_literal(x) for x in levels) + ")"), c), F.lit(0)).cast("int")
 
 
 def as_category(df: DataFrame, col: str, levels: Sequence[str], ord_col: str | None = None, reverse: bool = False) -> DataFrame:

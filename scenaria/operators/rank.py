@@ -21,33 +21,26 @@ def duration_curve(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence
     return df.withColumn(out, F.row_number().over(w))
 
 
-def rank_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    out: str = "T",
-    partitions: int | None = None,
-) -> DataFrame:
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "T") -> DataFrame:
     """``row_number`` for groups without a size bound.
 
-    Rows are range-partitioned by (group, order), so a hot group is cut into
-    many ranges of about equal size. Each range is ranked on its own and
-    shifted by the number of rows of its group in earlier ranges; that count
-    table has one row per group and range. The range layout is written to the
-    checkpoint folder, because both reads of it must see the same cut points
-    even if executors are lost in between. Rows that tie on the whole order
-    always share a range, so the order should end in a distinguishing column.
+    One global sort by (group, order) cuts a hot group into many ranges of
+    about equal size. The sorted rows carry their partition and position; a
+    group's first position and row count per partition, a table of groups x
+    partitions, turn that into the rank. No second shuffle of the rows.
+
+    The sorted rows are written to the checkpoint folder (an action): both
+    reads of them must see the same layout even if executors are lost in
+    between. Rows that tie on the whole order always share a range, so the
+    order should end in a distinguishing column.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     keys = list(keys)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-    laid = ranges.withColumn("__range", F.spark_partition_id()).checkpoint()
-    counts = laid.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
-    inside = Window.partitionBy(*keys, "__range").orderBy(*order)
-    ranked = laid.withColumn("__pos", F.row_number().over(inside))
-    out_rows = natural_join(ranked, offsets, "left", on=[*keys, "__range"])
-    return out_rows.withColumn(out, F.col("__pos") + F.col("__off")).drop("__pos", "__off", "__range")
+    placed = df.orderBy(*keys, *order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumn("__part", F.shiftright("__id", 33))
+    ranges = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1
+    shift = ranges.select(*keys, "__part", before.alias("__shift"))
+    ranked = natural_join(placed, shift, "left", on=[*keys, "__part"])
+    return ranked.withColumn(out, F.col("__id") + F.col("__shift")).drop("__id", "__part", "__shift")

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from scenaria.functions import strict_sum
 from scenaria.operators.joins import natural_join
+from scenaria.sources.inline import sql_literal
 
 Domain = Sequence[Any] | DataFrame | None
 
 
 def _lits(values: Sequence[Any]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")")
 
 
 def _observed(df: DataFrame, col: str, with_value: str | None = None) -> Column:
@@ -127,14 +128,23 @@ def complete_series(
 
 
 def _grid(df: DataFrame, keys: Sequence[str], domains: Mapping[str, Domain], value: str | None) -> DataFrame:
-    """The product of the key domains. All but the last are unrolled on one
-    short row; that product is spread over the cluster before the last domain
-    (normally the time slices) is unrolled."""
-    spark = df.sparkSession
-    grid = spark.range(1).select()
-    for i, k in enumerate(keys):
-        if i == len(keys) - 1 and i:
-            grid = grid.repartition(*keys[:-1])
+    """The product of the key domains.
+
+    The last key (normally the time slice) has the long domain: it stays a
+    distributed set of rows, and the short domains of the other keys are
+    unrolled onto it as arrays.
+    """
+    last, domain = keys[-1], domains.get(keys[-1])
+    if isinstance(domain, DataFrame):
+        grid = domain.toDF(last).distinct()
+    elif domain is not None:
+        grid = df.sparkSession.range(1).select(F.explode(_lits(domain)).alias(last)).repartition(last)
+    elif value is None:
+        grid = df.select(last).distinct()
+    else:
+        # reading the measure keeps this plan equal to the main one, for reuse
+        grid = df.groupBy(last).agg(F.count(value).alias("__n")).filter(F.col("__n") >= 0).select(last)
+    for k in keys[:-1]:
         grid = grid.select("*", F.explode(_domain(df, k, domains.get(k), value)).alias(k))
     return grid
 

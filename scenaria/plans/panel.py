@@ -35,10 +35,12 @@ def labelled(df: DataFrame, labels: Mapping[str, str], keep: Sequence[str], col:
     return df.filter(F.col(col).isin(codes_of(labels, keep))).withColumn(col, recode(col, labels))
 
 
-def annual_panel(annual: DataFrame, labels: Mapping[str, str], keep: Sequence[str], bins: Sequence[int] | None = None) -> DataFrame:
+def annual_panel(annual: DataFrame, labels: Mapping[str, str], keep: Sequence[str], bins: Sequence[int] | DataFrame | None = None) -> DataFrame:
     """Mean per five-year bin, every series present in every bin.
 
-    ``bins`` names the bins of the horizon; without it they are the observed ones.
+    ``bins`` names the bins of the horizon, as a list or a one-column set;
+    without it they are read from the panel, which then is computed for its
+    domain as well.
     """
     rows = labelled(annual, labels, keep).withColumn("Y5", year_bin("Sy"))
     means = grouped_mean(rows, ["Sc", "Sv", "Sr", "Y5"])

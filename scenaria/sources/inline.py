@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 MAX_INLINE_ROWS = 10_000
 
 
-def _literal(v: object) -> str:
+def sql_literal(v: object) -> str:
+    """A Python scalar as SQL text."""
     if v is None:
         return "NULL"
     if isinstance(v, bool):
@@ -29,7 +30,7 @@ def inline_table(spark: SparkSession, schema: str, rows: Sequence[Sequence]) ->
         raise ValueError(f"inline tables hold 1..{MAX_INLINE_ROWS} rows, got {len(rows)}")
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
     names = ", ".join(f"`{n}`" for n, _ in fields)
-    values = ", ".join("(" + ", ".join(_literal(v) for v in r) + ")" for r in rows)
+    values = ", ".join("(" + ", ".join(sql_literal(v) for v in r) + ")" for r in rows)
     casts = ", ".join(f"CAST(`{n}` AS {t}) AS `{n}`" for n, t in fields)
     return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
 

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenaria import vocab
-from scenaria.functions import first_match
+from scenaria.functions import first_match, year_bin
 from scenaria.operators import pivot_wider
+from scenaria.sources.inline import sql_literal
 
 # How TESTDATA values play the roles of the model ---------------
 
@@ -78,12 +79,28 @@ BIN_YEAR = 2000
 SITE_PATTERN = "^(JP-[0-9]+|CN-[0-9]+|RU-[0-9]+|KR|MN)-"
 
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A TESTDATA table with its declared schema, so no job runs to infer it."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index)
+    return F.element_at(F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")"), index)
 
 
 def _by_value(c: Column, mapping: dict, otherwise: str | None = None) -> Column:
@@ -185,6 +202,12 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def year_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins of the horizon, as a one-column set: reads the ship date only."""
+    year = F.year("l_shipdate")
+    return table(spark, sf_dir, "lineitem").select(year_bin(year).alias("Y5")).distinct()
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(Sc, Sv, Sr, St, value); the trade variable takes both signs."""
     e = table(spark, sf_dir, "events")
@@ -215,9 +238,16 @@ def _link(a: Column, b: Column) -> Column:
     return F.concat(a, F.lit("-AC_"), b, F.lit("-AC"))
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(Sc, N0, N1, I0, I1, L, T, YEAR, snd, rec): supplier node to customer node."""
+def flows(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
+    """(Sc, N0, N1, I0, I1, L, T, YEAR, snd, rec): supplier node to customer node.
+
+    ``year`` selects one model year by a date range, which prunes row groups
+    of the scan; a filter on the derived year could not.
+    """
     li = lines(spark, sf_dir, supplier=True).filter(F.col("N0") != F.col("N"))
+    if year is not None:
+        first, after = (F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz") for y in (year, year + 1))
+        li = li.filter((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < after))
     st = F.concat(
         F.lit("D"),
         F.lpad(F.dayofyear("l_shipdate").cast("string"), 3, "0"),

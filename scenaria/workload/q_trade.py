@@ -19,7 +19,7 @@ NAMES = {"CHN": "China", "JPN": "Japan", "KOR": "Korea", "MNG": "Mongolia"}
 
 
 def signed_of(spark, d, value="snd"):
-    return trade.flow_of_links(em.flows(spark, d), Y, F.col("L").rlike(vocab.AC_LINK), value)
+    return trade.flow_of_links(em.flows(spark, d, Y), Y, F.col("L").rlike(vocab.AC_LINK), value)
 
 
 def _labelled(df):
@@ -54,7 +54,7 @@ def canonical_flow_received(spark, d):
 )
 def canonical_flow_named_links(spark, d):
     links = ["CN-01-AC_KR-AC", "KR-AC_JP-00-AC", "CN-06-AC_MN-AC"]
-    return rounded(trade.flow_of_links(em.flows(spark, d), Y, links, "snd"))
+    return rounded(trade.flow_of_links(em.flows(spark, d, Y), Y, links, "snd"))
 
 
 @query("T24 F10 P12 A1 P11", "SELECT Sc, Sy, St, N, Sv, round(value, 4) AS value FROM fx_trade")
@@ -186,7 +186,7 @@ _POINTS = """a.centroid_x AS centroid_x0, a.centroid_y AS centroid_y0, b.centroi
 
 
 def link_flow_of(spark, d):
-    flows = em.flows(spark, d).withColumnRenamed("snd", "value")
+    flows = em.flows(spark, d, Y).withColumnRenamed("snd", "value")
     return trade.annual_link_flow(_labelled(flows), Y, em.node_attributes(spark, d), scenario_table(spark, d))
 
 
