@@ -17,6 +17,7 @@ from scenaria.functions import (
     recode,
     scaled,
     slice_hour,
+    strict_sum,
     timestamp_of_hour,
 )
 from scenaria.operators import (
@@ -79,7 +80,7 @@ def electricity_demand(demand: DataFrame, carriers: Sequence[str] = ("AC2", "H2"
     return (
         rows.select("Sc", country_of("N").alias("Sr"), carrier_equivalent("I", "value").alias("dmd"))
         .groupBy("Sc", "Sr")
-        .agg(F.sum("dmd").alias("dmd"))
+        .agg(strict_sum("dmd").alias("dmd"))
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,9 +66,9 @@ def read_scenarios(
             out = out.filter(F.col("Sc").isin(list(scenarios)))
     else:
         paths = [f"{root}/{s}.{fmt}" for s in scenarios] if scenarios is not None else f"{root}/*.{fmt}"
-        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        raw = _read(spark, paths, _schema(index, symbol), fmt)
-        out = raw.withColumn("Sc", F.url_decode(F.regexp_replace(name, rf"\.{fmt}$", "")))
+        # the scenario may be one file or a folder of part files
+        name = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)\.{fmt}(?:/.*)?$", 1)
+        out = _read(spark, paths, _schema(index, symbol), fmt).withColumn("Sc", _decoded(name))
     return out.withColumnRenamed(symbol, "value")
 
 
@@ -86,10 +86,15 @@ def read_yearly_files(
     parts = F.split(F.col("_metadata.file_path"), "/")
     raw = _read(spark, paths, _schema(index, symbol), fmt)
     year = to_number(F.regexp_extract(F.element_at(parts, -1), r"^(\d+)\.", 1))
-    out = raw.withColumns({"Sc": F.url_decode(F.element_at(parts, -2)), "Sy": year})
+    out = raw.withColumns({"Sc": _decoded(F.element_at(parts, -2)), "Sy": year})
     return out.withColumnRenamed(symbol, "value")
 
 
+def _decoded(path_part: Column) -> Column:
+    """Path text as written; a plus sign in a file name stands for itself."""
+    return F.url_decode(F.replace(path_part, F.lit("+"), F.lit("%2B")))
+
+
 def read_scenario_matrix(spark: SparkSession, path: str) -> DataFrame:
     schema = "Scenario string, Status string, scen_dpol string, scen_tpol string"
     # header names decide, so extra columns of the file do not shift the fields
