@@ -16,6 +16,7 @@ from scenaria.operators.category import (  # noqa: F401
     as_category,
     attach_dimension,
     classify,
+    display_order,
     with_scenario_category,
 )
 from scenaria.operators.columns import categories_to_text, map_columns, select_renamed, swap  # noqa: F401

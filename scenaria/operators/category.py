@@ -57,3 +57,10 @@ def classify(df: DataFrame, col: str, rules: Mapping[str, Column]) -> DataFrame:
     for label, cond in rules.items():
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
     return df.withColumn(col, out)
+
+
+def display_order(df: DataFrame, *by: str, descending: bool = False) -> DataFrame:
+    """Sort an output table, e.g. by its category positions. Only for results
+    that are shown or written in order: it is a full sort."""
+    cols = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in by]
+    return df.orderBy(*cols)

@@ -99,15 +99,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")"), index)
+def _pick(values: list[str], index: Column | str) -> Column:
+    """Element of a literal list by 1-based position; NULL beyond its end."""
+    array = F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")")
+    return F.try_element_at(array, F.col(index) if isinstance(index, str) else index)
 
 
-def _by_value(c: Column, mapping: dict, otherwise: str | None = None) -> Column:
-    out = None
-    for k, v in mapping.items():
-        out = F.when(c == k, F.lit(v)) if out is None else out.when(c == k, F.lit(v))
-    return out if otherwise is None else out.otherwise(F.lit(otherwise))
+def _by_value(column: str, mapping: dict, otherwise: str | None = None) -> Column:
+    cases = " ".join(f"WHEN {sql_literal(k)} THEN {sql_literal(v)}" for k, v in mapping.items())
+    return F.expr(f"CASE {column} {cases} ELSE {sql_literal(otherwise)} END")
 
 
 def _exact_sum(c: Column | str) -> Column:
@@ -128,10 +128,10 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     rk, nk = F.col("n_regionkey"), F.col("n_nationkey")
     single = rk.isin(list(SINGLE_NODE))
-    node = F.when(single, _by_value(rk, SINGLE_NODE)).otherwise(
-        F.concat(_by_value(rk, NODE_PREFIX), F.lpad(nk.cast("string"), 2, "0"))
+    node = F.when(single, _by_value("n_regionkey", SINGLE_NODE)).otherwise(
+        F.concat(_by_value("n_regionkey", NODE_PREFIX), F.lpad(nk.cast("string"), 2, "0"))
     )
-    rank = _by_value(rk, NODE_RANK) * 100 + F.when(single, 0).otherwise(nk)
+    rank = _by_value("n_regionkey", NODE_RANK) * 100 + F.when(single, 0).otherwise(nk)
     return n.select(nk, rk, node.alias("N"), rank.cast("int").alias("rank"))
 
 
@@ -190,7 +190,7 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(Sc, Sv, Sr, Sy, value) for nodes, countries and the whole region."""
     base = (
         lines(spark, sf_dir, part=True)
-        .groupBy("Sc", _pick(BRAND_VARIABLE, F.col("brand")).alias("Sv"), "N", F.col("year").alias("Sy"))
+        .groupBy("Sc", _pick(BRAND_VARIABLE, "brand").alias("Sv"), "N", F.col("year").alias("Sy"))
         .agg(F.sum("l_quantity").alias("value"))
     )
     country = F.when(F.col("N").startswith("JP-"), "JPN").when(F.col("N").startswith("CN-"), "CHN")
@@ -221,7 +221,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("user_id")
     return e.groupBy(
         _pick(EVENT_SCENARIO, (user % 2 + 1).cast("int")).alias("Sc"),
-        _by_value(F.col("event_type"), EVENT_VARIABLE).alias("Sv"),
+        _by_value("event_type", EVENT_VARIABLE).alias("Sv"),
         _pick(EVENT_REGION, (user % 3 + 1).cast("int")).alias("Sr"),
         st.alias("St"),
     ).agg(_exact_sum(v).alias("value"))
@@ -271,8 +271,8 @@ def _any_link() -> Column:
     between = F.when(F.col("rank0") < F.col("rank"), _link(F.col("N0"), F.col("N"))).otherwise(
         _link(F.col("N"), F.col("N0"))
     )
-    b0 = _pick([a for a, _ in INNER_BUSES], F.col("l_linenumber"))
-    b1 = _pick([b for _, b in INNER_BUSES], F.col("l_linenumber"))
+    b0 = _pick([a for a, _ in INNER_BUSES], "l_linenumber")
+    b1 = _pick([b for _, b in INNER_BUSES], "l_linenumber")
     inner = F.concat(F.col("N"), F.lit("-"), b0, F.lit("_"), F.col("N"), F.lit("-"), b1)
     return F.when(F.col("N0") == F.col("N"), inner).otherwise(between)
 
@@ -288,7 +288,7 @@ def link_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, Sc, L, YEAR, value): the symbol follows the return flag."""
-    symbol = _by_value(F.col("l_returnflag"), {"A": "lnk_inv", "N": "lnk_fom", "R": "lnk_vom"})
+    symbol = _by_value("l_returnflag", {"A": "lnk_inv", "N": "lnk_fom", "R": "lnk_vom"})
     return (
         lines(spark, sf_dir, supplier=True)
         .groupBy("Sc", _any_link().alias("L"), horizon(F.col("year")).alias("YEAR"), symbol.alias("symbol"))
@@ -311,8 +311,8 @@ def asset_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(
             "Sc",
             "N",
-            _pick(BRAND_COST_CODE, F.col("brand")).alias("R"),
-            _by_value(F.col("l_linestatus"), {"O": "ALL"}, "SUB").alias("SE0"),
+            _pick(BRAND_COST_CODE, "brand").alias("R"),
+            _by_value("l_linestatus", {"O": "ALL"}, "SUB").alias("SE0"),
             horizon(F.col("year")).alias("YEAR"),
             symbol.alias("symbol"),
         )
@@ -324,8 +324,8 @@ def gen_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         lines(spark, sf_dir, part=True)
         .groupBy(
-            _by_value(F.col("l_linestatus"), {"O": "ALL"}, "SUB").alias("SE0"),
-            _pick(BRAND_GENERATOR, F.col("brand")).alias("PW_GEN"),
+            _by_value("l_linestatus", {"O": "ALL"}, "SUB").alias("SE0"),
+            _pick(BRAND_GENERATOR, "brand").alias("PW_GEN"),
             "N",
             F.col("year").cast("string").alias("YEAR"),
             "Sc",
@@ -338,8 +338,8 @@ def sto_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         lines(spark, sf_dir, part=True)
         .groupBy(
-            _by_value(F.col("l_linestatus"), {"O": "ALL"}, "SUB").alias("SE0"),
-            _by_value(F.col("p_type"), TYPE_STORAGE, "CAES").alias("PW_STO"),
+            _by_value("l_linestatus", {"O": "ALL"}, "SUB").alias("SE0"),
+            _by_value("p_type", TYPE_STORAGE, "CAES").alias("PW_STO"),
             "N",
             F.col("year").cast("string").alias("YEAR"),
             "Sc",
@@ -351,7 +351,7 @@ def sto_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def potentials(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(installed by scenario, maximum) per node and renewable technology."""
     li = lines(spark, sf_dir, part=True, supplier=True)
-    r = _by_value(F.col("p_type"), TYPE_RENEWABLE)
+    r = _by_value("p_type", TYPE_RENEWABLE)
     local = li.filter((F.col("l_returnflag") == "R") & (F.col("N0") == F.col("N")))
     built = local.groupBy("Sc", "N", r.alias("R")).agg(F.sum("l_quantity").alias("value"))
     most = lines(spark, sf_dir, part=True).groupBy("N", r.alias("R")).agg(F.sum("l_quantity").alias("value"))
@@ -365,7 +365,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(
             "Sc",
             "N",
-            _by_value(F.col("l_linestatus"), {"F": "AC"}, "AC2").alias("I"),
+            _by_value("l_linestatus", {"F": "AC"}, "AC2").alias("I"),
             F.concat(F.lit("m"), F.lpad(F.month("l_shipdate").cast("string"), 2, "0")).alias("MT"),
         )
         .agg(F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("s"), F.count(F.lit(1)).alias("lines"))
@@ -381,7 +381,7 @@ def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(
             "Sc",
             "N",
-            _by_value(F.col("l_linestatus"), {"O": "AC2"}, "H2").alias("I"),
+            _by_value("l_linestatus", {"O": "AC2"}, "H2").alias("I"),
             F.concat(F.lit("m"), F.lpad(F.month("l_shipdate").cast("string"), 2, "0")).alias("MT"),
         )
         .agg(F.sum("l_quantity").alias("value"))
@@ -395,7 +395,7 @@ def yearly_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(
             "Sc",
             "N",
-            _by_value(F.col("l_linestatus"), {"O": "AC2"}, "H2").alias("I"),
+            _by_value("l_linestatus", {"O": "AC2"}, "H2").alias("I"),
             horizon(F.col("year"), 2005).cast("string").alias("Y"),
         )
         .agg(F.sum("l_quantity").alias("value"))
@@ -420,7 +420,7 @@ def gdp(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = orders(spark, sf_dir)
     years = list(range(2020, 2051, 5))
     long = o.groupBy(
-        _by_value(F.col("n_regionkey"), GDP_REGION).alias("Region"),
+        _by_value("n_regionkey", GDP_REGION).alias("Region"),
         horizon(F.year("o_orderdate")).alias("Y"),
     ).agg(_exact_sum("o_totalprice").alias("v"))
     return pivot_wider(long, ["Region"], "Y", "v", years)

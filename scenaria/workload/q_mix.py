@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenaria import vocab
-from scenaria.operators import attach_dimension, pivot_wider, pivot_longer
+from scenaria.operators import attach_dimension, display_order, pivot_longer, pivot_wider
 from scenaria.plans import mix, panel
 from scenaria.workload import emulate as em
 from scenaria.workload import oracle as o
@@ -259,3 +259,15 @@ def wide_and_back(spark, d):
 def domain_sizes(spark, d):
     m = mix_of(spark, d)
     return m.agg(*[F.countDistinct(c).alias(f"n_{c.lower()}") for c in ("Sv", "Sr", "Sc", "cat2")])
+
+
+@query(
+    "O1 O2 O3 P15",
+    f"""
+    SELECT Sc, Sv, Sr, Y5, cat1, cat2, round({o.flip('Sv', 'value', vocab.ANNUAL_OUTFLOWS)} / 1000, 4) AS value,
+           CAST(list_position([{', '.join(o.lit(t) for t in reversed(TECH))}], Sv) AS INTEGER) AS ord
+    FROM fx_mix WHERE Sr = 'NEA' AND Sc IN {o.in_list(SHOWN)} ORDER BY Sc, Y5, ord""",
+)
+def mix_in_display_order(spark, d):
+    view = mix.regional_view(mix_of(spark, d), ["NEA"], SHOWN, vocab.ANNUAL, divisor=1e3)
+    return display_order(rounded(view), "Sc", "Y5", "ord")

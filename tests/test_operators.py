@@ -85,6 +85,18 @@ def test_category_rank_null(table):
     assert rows_of(table("c string", (None,)).select(category_rank("c", ["a"]))) == [(None,)]
 
 
+def test_display_order(table):
+    df = table("v int", (2,), (None,), (3,), (1,))
+    assert [r.v for r in op.display_order(df, "v").collect()] == [1, 2, 3, None]
+    assert [r.v for r in op.display_order(df, "v", descending=True).collect()] == [3, 2, 1, None]
+
+
+def test_map_columns(table):
+    got = op.map_columns(table("a int, b int, c int", (1, 2, 3)), ["a", "b"], lambda c: c - F.col("c"))
+    assert rows_of(got) == [(-2, -1, 3)]
+    assert rows_of(op.select_renamed(got, {"x": "c"})) == [(3,)]
+
+
 def test_unknown_scenario_loses_its_label(table):
     scen = table("Scenario string, scen_dpol string, scen_tpol string", ("s1", "d", "t"))
     got = op.with_scenario_category(table("Sc string, v int", ("s1", 1), ("s9", 2)), scen)
