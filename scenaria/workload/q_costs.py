@@ -53,11 +53,14 @@ def cost_increment_npv(spark, d):
 @query(
     "T44 F6",
     f"""
-    SELECT {SC} AS Sc, Sv, Sr2, round(sum(value * pow(0.95, YEAR - 2020)) / 1e6, 4) AS value
-    FROM fx_increment WHERE YEAR >= 2040 GROUP BY ALL""",
+    SELECT {SC} AS Sc, i.Sv, i.Sr2, round(sum(i.value * pow(0.95, i.YEAR - 2020)) / 1e6, 4) AS value
+    FROM fx_increment i
+    JOIN (SELECT DISTINCT Sr2, Sv FROM fx_cost_total WHERE YEAR >= 2040) k
+      ON k.Sr2 IS NOT DISTINCT FROM i.Sr2 AND k.Sv IS NOT DISTINCT FROM i.Sv
+    WHERE i.YEAR >= 2040 GROUP BY ALL""",
 )
 def cost_npv_from_2040(spark, d):
-    """Later window, same discount base."""
+    """Later window, same discount base; only what has cost in the window is a series."""
     return rounded(costs.increment_npv(increment_of(spark, d, 2040), em.LABELS), divisor=M)
 
 

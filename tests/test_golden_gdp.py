@@ -41,7 +41,8 @@ def test_attribution_line_is_dropped(gdp):
 def test_discounted_totals(gdp, first, keep):
     yearly = costs.interpolated_gdp(gdp, first, 2050, keep_outside=keep)
     got = {r.Sr2: r.GDP for r in costs.discounted_gdp(yearly).collect()}
-    assert got == pytest.approx(GOLDEN[first, keep], rel=2e-7)
+    # the golden values are printed with seven digits
+    assert got == pytest.approx(GOLDEN[first, keep], rel=5e-7)
 
 
 def test_interpolation_hits_source_years(gdp):
