@@ -359,7 +359,7 @@ def potentials(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(Sc, N, I, MT, value): mean unit price per month, and the ANN row."""
+    """(Sc, N, I, MT, value): unit price per month, and the ANN row."""
     monthly = (
         lines(spark, sf_dir)
         .groupBy(
@@ -368,10 +368,10 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
             _by_value("l_linestatus", {"F": "AC"}, "AC2").alias("I"),
             F.concat(F.lit("m"), F.lpad(F.month("l_shipdate").cast("string"), 2, "0")).alias("MT"),
         )
-        .agg(F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("s"), F.count(F.lit(1)).alias("lines"))
+        .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).alias("paid"), F.sum("l_quantity").alias("quantity"))
     )
     rows = monthly.withColumn("MT", F.explode(F.array(F.col("MT"), F.lit("ANN"))))
-    return rows.groupBy("Sc", "N", "I", "MT").agg((F.sum("s") / F.sum("lines")).alias("value"))
+    return rows.groupBy("Sc", "N", "I", "MT").agg((F.sum("paid").cast("double") / F.sum("quantity")).alias("value"))
 
 
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:

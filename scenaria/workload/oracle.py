@@ -297,7 +297,7 @@ CTES = {
         FROM fx_sto_cap GROUP BY ALL""",
     "fx_price": f"""
         SELECT Sc, N, CASE WHEN l_linestatus = 'F' THEN 'AC' ELSE 'AC2' END AS I, {_MONTH} AS MT,
-               avg(l_extendedprice / l_quantity) AS value FROM fx_lines GROUP BY ALL""",
+               {exact('l_extendedprice')} / sum(l_quantity) AS value FROM fx_lines GROUP BY ALL""",
     "fx_dmd": f"""
         SELECT Sc, N, CASE WHEN l_linestatus = 'O' THEN 'AC2' ELSE 'H2' END AS I, {_MONTH} AS MT,
                sum(l_quantity) AS value FROM fx_lines GROUP BY ALL""",

@@ -1,4 +1,8 @@
-"""System cost and GDP. Money is shown in millions so that rounding is safe."""
+"""System cost and GDP.
+
+Money is shown in millions. Amounts that are exact in hundredths are rounded
+beyond their last digit, so that no value lies on a rounding boundary.
+"""
 
 from __future__ import annotations
 
@@ -30,19 +34,19 @@ def gdp_of(spark, d):
     return costs.discounted_gdp(yearly_gdp_of(spark, d), unit=1.0)
 
 
-@query("T42 S3 F1 J1 P11 A1 U1", "SELECT Sc, N, Sv, YEAR, round(value / 1e6, 4) AS value FROM fx_asset_cost")
+@query("T42 S3 F1 J1 P11 A1 U1", "SELECT Sc, N, Sv, YEAR, round(value / 1e6, 10) AS value FROM fx_asset_cost")
 def cost_by_class(spark, d):
-    return rounded(costs.asset_cost(em.asset_costs(spark, d)), divisor=M)
+    return rounded(costs.asset_cost(em.asset_costs(spark, d)), digits=10, divisor=M)
 
 
-@query("T43 P18 X4 P25 A7 U1 X3", "SELECT Sc, N, Sv, YEAR, round(value / 1e6, 4) AS value FROM fx_lnk_cost_nodes")
+@query("T43 P18 X4 P25 A7 U1 X3", "SELECT Sc, N, Sv, YEAR, round(value / 1e6, 10) AS value FROM fx_lnk_cost_nodes")
 def link_cost_split(spark, d):
-    return rounded(costs.link_cost(em.link_costs(spark, d)), divisor=M)
+    return rounded(costs.link_cost(em.link_costs(spark, d)), digits=10, divisor=M)
 
 
-@query("T44 R5 R7 R8 W3 W5 P27", "SELECT Sr2, Sv, YEAR, Sc, round(value / 1e6, 4) AS value FROM fx_increment")
+@query("T44 R5 R7 R8 W3 W5 P27", "SELECT Sr2, Sv, YEAR, Sc, round(value / 1e6, 10) AS value FROM fx_increment")
 def cost_increment_yearly(spark, d):
-    return rounded(increment_of(spark, d), divisor=M)
+    return rounded(increment_of(spark, d), digits=10, divisor=M)
 
 
 @query("T44 A6 X10", "SELECT Sc, Sv, Sr2, round(value / 1e6, 4) AS value FROM fx_npv")
@@ -74,9 +78,9 @@ def cost_totals(spark, d):
     return rounded(costs.cost_all_classes(costs.cost_with_total(npv_of(spark, d))), divisor=M)
 
 
-@query("T46 S5 P5 R2 R6 R9 W4", "SELECT Sr2, YEAR, round(GDP / 1e6, 4) AS \"GDP\" FROM fx_gdp_yearly")
+@query("T46 S5 P5 R2 R6 R9 W4", "SELECT Sr2, YEAR, round(GDP / 1e6, 10) AS \"GDP\" FROM fx_gdp_yearly")
 def gdp_interpolated(spark, d):
-    return rounded(yearly_gdp_of(spark, d), "GDP", divisor=M)
+    return rounded(yearly_gdp_of(spark, d), "GDP", digits=10, divisor=M)
 
 
 @query("T46 A5 A4 A8 U1", "SELECT Sr2, round(GDP / 1e6, 4) AS \"GDP\" FROM fx_gdp_all")

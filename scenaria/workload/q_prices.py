@@ -19,17 +19,17 @@ def mcoe_of(spark, d):
     return prices.price_table(em.prices(spark, d), em.demand(spark, d))
 
 
-@query("T39 S3 F11 J7 P11 U1", "SELECT Sc, N, I, T, round(price, 4) AS price, dmd FROM fx_mcoe")
+@query("T39 S3 F11 J7 P11 U1", "SELECT Sc, N, I, T, price, dmd FROM fx_mcoe")
 def price_table(spark, d):
-    return rounded(mcoe_of(spark, d), "price")
+    return mcoe_of(spark, d)
 
 
 @query(
     "T40 A3 Q1",
-    f"SELECT {SC} AS Sc, I, T, round({MEAN}, 4) AS value FROM fx_mcoe WHERE N LIKE '%JP-%' GROUP BY ALL",
+    f"SELECT {SC} AS Sc, I, T, round({MEAN}, 8) AS value FROM fx_mcoe WHERE N LIKE '%JP-%' GROUP BY ALL",
 )
 def weighted_price_slice(spark, d):
-    return rounded(prices.slice_price(mcoe_of(spark, d), em.LABELS))
+    return rounded(prices.slice_price(mcoe_of(spark, d), em.LABELS), digits=8)
 
 
 _COUNTRY = "CASE WHEN N LIKE '%JP-%' THEN 'JPN' WHEN N LIKE '%CN-%' THEN 'CHN' WHEN N = 'KR' THEN 'KOR' WHEN N = 'MN' THEN 'MNG' END"
@@ -38,22 +38,22 @@ _COUNTRY = "CASE WHEN N LIKE '%JP-%' THEN 'JPN' WHEN N LIKE '%CN-%' THEN 'CHN' W
 @query(
     "T40 A3 A8 P20",
     f"""
-    SELECT {SC} AS Sc, I, {_COUNTRY} AS Sr, round({MEAN}, 4) AS value FROM fx_mcoe GROUP BY ALL
-    UNION ALL SELECT {SC}, I, 'Total', round({MEAN}, 4) FROM fx_mcoe GROUP BY ALL""",
+    SELECT {SC} AS Sc, I, {_COUNTRY} AS Sr, round({MEAN}, 8) AS value FROM fx_mcoe GROUP BY ALL
+    UNION ALL SELECT {SC}, I, 'Total', round({MEAN}, 8) FROM fx_mcoe GROUP BY ALL""",
 )
 def weighted_price_totals(spark, d):
-    return rounded(prices.country_price(mcoe_of(spark, d), em.LABELS))
+    return rounded(prices.country_price(mcoe_of(spark, d), em.LABELS), digits=8)
 
 
 @query(
     "T40 A3",
-    f"SELECT {SC} AS Sc, N AS Sr, round({MEAN}, 4) AS value FROM fx_mcoe WHERE N LIKE '%JP-%' AND I = 'AC' GROUP BY ALL",
+    f"SELECT {SC} AS Sc, N AS Sr, round({MEAN}, 8) AS value FROM fx_mcoe WHERE N LIKE '%JP-%' AND I = 'AC' GROUP BY ALL",
 )
 def node_price(spark, d):
-    return rounded(prices.node_price(mcoe_of(spark, d), em.LABELS))
+    return rounded(prices.node_price(mcoe_of(spark, d), em.LABELS), digits=8)
 
 
-_SLICE = f"SELECT {SC} AS Sc, I, T AS St, round({MEAN}, 4) AS value FROM fx_mcoe WHERE N LIKE '%JP-%' AND I = 'AC' GROUP BY ALL"
+_SLICE = f"SELECT {SC} AS Sc, I, T AS St, round({MEAN}, 8) AS value FROM fx_mcoe WHERE N LIKE '%JP-%' AND I = 'AC' GROUP BY ALL"
 
 
 @query(
@@ -63,7 +63,7 @@ _SLICE = f"SELECT {SC} AS Sc, I, T AS St, round({MEAN}, 4) AS value FROM fx_mcoe
     FROM ({_SLICE})""",
 )
 def price_duration_curve(spark, d):
-    return prices.price_curve(rounded(prices.slice_price(mcoe_of(spark, d), em.LABELS)))
+    return prices.price_curve(rounded(prices.slice_price(mcoe_of(spark, d), em.LABELS), digits=8))
 
 
 @query(
@@ -86,9 +86,9 @@ def price_curve_every_line(spark, d):
     SELECT Sc, I, T, value,
       CASE WHEN Sc LIKE '%500C%' THEN '500C' WHEN Sc LIKE '%1000C%' THEN '1000C' END AS cpol,
       CASE WHEN Sc LIKE '%w/ grid%' THEN 'w/ grid' WHEN Sc LIKE '%w/o grid%' THEN 'w/o grid' END AS tpol
-    FROM (SELECT {o.recode('Sc', {'3-MEDIUM': '1000C w/ grid', '5-LOW': '500C w/o grid'})} AS Sc, I, T, round({MEAN}, 4) AS value
+    FROM (SELECT {o.recode('Sc', {'3-MEDIUM': '1000C w/ grid', '5-LOW': '500C w/o grid'})} AS Sc, I, T, round({MEAN}, 8) AS value
           FROM fx_mcoe WHERE N LIKE '%JP-%' GROUP BY ALL)""",
 )
 def policy_facets(spark, d):
     labels = {"3-MEDIUM": "1000C w/ grid", "5-LOW": "500C w/o grid"}
-    return prices.with_policy_facets(rounded(prices.slice_price(mcoe_of(spark, d), labels)))
+    return prices.with_policy_facets(rounded(prices.slice_price(mcoe_of(spark, d), labels), digits=8))
