@@ -21,6 +21,14 @@ def duration_curve(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence
     return df.withColumn(out, F.row_number().over(w))
 
 
+def sorted_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Globally sorted rows with their position (``__id``) and range (``__part``),
+    written to the checkpoint folder so that every later read sees one layout."""
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.orderBy(*keys, *order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    return placed.withColumn("__part", F.shiftright("__id", 33))
+
+
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "T") -> DataFrame:
     """``row_number`` for groups without a size bound.
 
@@ -34,10 +42,8 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
     between. Rows that tie on the whole order always share a range, so the
     order should end in a distinguishing column.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     keys = list(keys)
-    placed = df.orderBy(*keys, *order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
-    placed = placed.withColumn("__part", F.shiftright("__id", 33))
+    placed = sorted_positions(df, keys, order)
     ranges = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1

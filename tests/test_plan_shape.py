@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from conftest import final_plan
 from scenaria.workload.catalog import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -42,8 +43,7 @@ def test_scenario_filter_reaches_the_orders_scan(spark):
 def test_completion_reads_the_facts_once(spark):
     df = QUERIES["flow_heatmap"].plan(spark, SF_DIR)
     df.collect()
-    final = plan_of(df).split("== Initial Plan ==")[0]
-    assert final.count("FileScan parquet [l_orderkey") == 1
+    assert final_plan(df).count("FileScan parquet [l_orderkey") == 1
 
 
 def test_large_joins_do_not_depend_on_broadcast(spark):
