@@ -187,7 +187,12 @@ def lines(spark: SparkSession, sf_dir: str, part: bool = False, supplier: bool =
 
 
 def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(Sc, Sv, Sr, Sy, value) for nodes, countries and the whole region."""
+    """(Sc, Sv, Sr, Sy, value) for nodes, countries and the whole region.
+
+    The node panel is laid out by (Sv, Sr) once: the yearly sum, the mean per
+    bin and the densifying that follow all group by more than these columns,
+    so none of them shuffles again.
+    """
     base = (
         lines(spark, sf_dir, part=True)
         .groupBy("Sc", _pick(BRAND_VARIABLE, "brand").alias("Sv"), "N", F.col("year").alias("Sy"))
@@ -197,6 +202,7 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = F.array_compact(F.array(F.col("N"), country, F.lit("NEA")))
     return (
         base.select("Sc", "Sv", F.explode(levels).alias("Sr"), "Sy", "value")
+        .repartition("Sv", "Sr")
         .groupBy("Sc", "Sv", "Sr", "Sy")
         .agg(F.sum("value").alias("value"))
     )

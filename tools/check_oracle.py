@@ -46,9 +46,9 @@ def types_of(df) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
 
-def compare(spark, con, name: str, sf_dir: str) -> str:
+def compare(spark, con, name: str, sf_dir: str, got_df=None) -> str:
     q = QUERIES[name]
-    got_df = q.plan(spark, sf_dir)
+    got_df = q.plan(spark, sf_dir) if got_df is None else got_df
     got = got_df.toPandas()
     rel = con.sql(q.sql)
     want_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
