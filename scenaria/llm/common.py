@@ -34,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(configured)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        return path.getFileSystem(conf).makeQualified(path).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="scenaria-shared-")

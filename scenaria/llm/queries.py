@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scenaria.llm.packing import op8_packing
 from scenaria.llm.pii import op2_pii
 from scenaria.llm.simhash import op1_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
+    "op8_packing": op8_packing,
 }
 SQL: dict[str, str] = {}
