@@ -11,13 +11,16 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from scenaria.llm.common import split_words
 
 VOCAB = "word_bpe_49k.json"
 #: Words kept by a worker; beyond it, the memory starts anew.
-KEPT = 1_000_000
+KEPT = 400_000
+#: Bytes of text that are encoded at once (whole texts; one that is longer alone).
+AT_ONCE = 4 << 20
 
 
 def vocab_path(name: str = VOCAB) -> str:
@@ -45,11 +48,12 @@ class Encoder:
         # composed letters of Latin-1 with simple lower case, and ASCII without the < of special tokens
         self.plain = regex.compile("[!-;=-~ß-öø-ÿÀ-ÖØ-Þ]*").fullmatch
         self.as_bytes = _byte_letters()
+        self.ints = list(range(self.tokenizer.get_vocab_size()))  # one object for each id, however often kept
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.piece: dict[str, list[int]] = {}
+        self.piece: dict[str, tuple[int, ...]] = {}
         self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
     def _ids(self, word: str) -> list[int]:
@@ -60,7 +64,7 @@ class Encoder:
             got = self.piece.get(part)
             if got is None:
                 raw = part if part.isascii() else part.encode().decode("latin-1").translate(self.as_bytes)
-                got = self.piece[part] = [t.id for t in self.model.tokenize(raw)]
+                got = self.piece[part] = tuple(self.ints[t.id] for t in self.model.tokenize(raw))
             ids += got
         return ids
 
@@ -80,6 +84,15 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts (null: none) and each text's bounds in them; ``end_id`` follows each text."""
+        size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+        part = np.cumsum(size) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        done = [self._encode(texts.slice(a, b - a), end_id) for a, b in zip(cuts[:-1], cuts[1:])]
+        before = np.cumsum([0, *(len(ids) for ids, _ in done)])
+        bounds = [b[:-1] + k for (_, b), k in zip(done, before)]
+        return np.concatenate([ids for ids, _ in done]), np.concatenate([*bounds, before[-1:]])
+
+    def _encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         bounds, codes, vocab = split_words(texts)
         words = vocab.to_pylist()
         if len(self.number) + len(words) > KEPT:
