@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scenaria.llm.decontam import op9_decontamination
 from scenaria.llm.packing import op8_packing
 from scenaria.llm.pii import op2_pii
 from scenaria.llm.simhash import op1_simhash
 from scenaria.llm.tokencount import op10_token_counts
 from scenaria.llm.tokenfile import op5_token_output
+from scenaria.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op5_token_output": op5_token_output,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {}
