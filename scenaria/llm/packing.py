@@ -21,7 +21,7 @@ from scenaria.llm.tokens import encoder, vocab_path
 
 CAPACITY, END_ID = 2048, 0
 #: Rows that are ranked in one group; a length with more is cut by a hash of its rows.
-RANKED = 100_000
+RANKED = 1000
 
 Placement = tuple[int, int, int, int, int, int]
 
