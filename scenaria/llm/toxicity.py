@@ -27,6 +27,8 @@ TEXTS = 8
 #: Labelled rows that are learned from, at most: of class 1 and of class 0, with the smallest hash of
 #: the id. The model is fitted on the driver, so this bounds what comes there.
 SAMPLE = {1: 1000, 0: 3000}
+#: Share of class 1 in the weight of the training texts, whatever its share in their number.
+SHARE = 0.3
 #: Training reads texts VISITS times in all (at most EPOCHS times each), in PARTS batches a time.
 VISITS, EPOCHS, PARTS, RATE, DECAY, SEED = 80_000, 200, 8, 0.2, 1e-5, 7
 #: A document is rejected from this score on.
@@ -115,19 +117,20 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     bias = np.zeros(2, np.float32)
     params = [emb, out, bias]
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    weight = np.where(labels == 1, SHARE / labels.sum(), (1 - SHARE) / (len(labels) - labels.sum())) * len(labels)
     batches = []
     for part in np.array_split(rng.permutation(len(docs)), min(PARTS, len(docs))):
         size = np.array([len(docs[d][0]) + 1 for d in part])  # and an entry of weight 0, as a text may have none
         idx = np.concatenate([np.append(docs[d][0], 0) for d in part])
         share = np.concatenate([np.append(docs[d][1], 0) for d in part]).astype(np.float64)
-        batches.append((idx, share, size, labels[part]))
+        batches.append((idx, share, size, labels[part], weight[part] / len(part)))
     epochs = min(EPOCHS, -(-VISITS // len(docs)))
     for _ in range(epochs):
-        for idx, share, size, target in batches:
+        for idx, share, size, target, each in batches:
             # Two classes: the logits' difference decides, and the two gradients are opposite.
             row_diff = (emb @ (out[:, 1] - out[:, 0])).astype(np.float64)
             logit = np.add.reduceat(share * row_diff[idx], np.cumsum(size) - size) + (bias[1] - bias[0])
-            delta = (1.0 / (1.0 + np.exp(-np.clip(logit, -50, 50))) - target) / len(target)
+            delta = (1.0 / (1.0 + np.exp(-np.clip(logit, -50, 50))) - target) * each
             one = np.bincount(idx, share * np.repeat(delta, size), n_rows).astype(np.float32)
             both = np.stack([-one, one], 1)
             total = np.float32(delta.sum())
