@@ -112,6 +112,8 @@ def star_edges(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars of a boolean adjacency matrix: (member, root) positions."""
     n = len(linked)
     label = np.arange(n)
+    if not n:
+        return label, label
     grown = linked | np.eye(n, dtype=bool)
     while True:
         new = np.where(grown, label[None, :], n).min(axis=1)

@@ -13,10 +13,12 @@ from scenaria.llm.simhash import op1_simhash
 from scenaria.llm.tokencount import op10_token_counts
 from scenaria.llm.tokenfile import op5_token_output
 from scenaria.llm.toxicity import op7_toxicity
+from scenaria.llm.vectors import op4_vector_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
+    "op4_vector_links": op4_vector_links,
     "op5_token_output": op5_token_output,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
