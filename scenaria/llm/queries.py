@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scenaria.llm.decontam import op9_decontamination
 from scenaria.llm.packing import op8_packing
+from scenaria.llm.passages import op3_repeated_passages
 from scenaria.llm.pii import op2_pii
 from scenaria.llm.simhash import op1_simhash
 from scenaria.llm.tokencount import op10_token_counts
@@ -18,6 +19,7 @@ from scenaria.llm.vectors import op4_vector_links
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_vector_links": op4_vector_links,
     "op5_token_output": op5_token_output,
     "op7_toxicity": op7_toxicity,
