@@ -18,9 +18,9 @@ from scenaria.llm.common import split_words
 
 VOCAB = "word_bpe_49k.json"
 #: Words kept by a worker; beyond it, the memory starts anew.
-KEPT = 400_000
+KEPT = 600_000
 #: Bytes of text that are encoded at once (whole texts; one that is longer alone).
-AT_ONCE = 4 << 20
+AT_ONCE = 6 << 20
 
 
 def vocab_path(name: str = VOCAB) -> str:
@@ -56,17 +56,24 @@ class Encoder:
         self.piece: dict[str, tuple[int, ...]] = {}
         self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
-    def _ids(self, word: str) -> list[int]:
+    def _piece(self, part: str) -> tuple[int, ...]:
+        """Ids of a part of a plain word."""
+        got = self.piece.get(part)
+        if got is None:
+            raw = part if part.isascii() else part.encode().decode("latin-1").translate(self.as_bytes)
+            ints = self.ints
+            got = self.piece[part] = tuple([ints[t.id] for t in self.model.tokenize(raw)])
+        return got
+
+    def _ids(self, word: str) -> tuple[int, ...] | list[int]:
+        # Nearly all words are letters, with a full stop or comma behind them or not.
+        low = word.lower()
+        core = low[:-1] if low[-1:] in (".", ",") else low
+        if core.isalpha() and (core.isascii() or max(core) <= "ÿ") and len(low) == len(word):
+            return self._piece(core) if core is low else self._piece(core) + self._piece(low[-1])
         if not self.plain(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        ids: list[int] = []
-        for part in self.parts.findall(word.lower()):
-            got = self.piece.get(part)
-            if got is None:
-                raw = part if part.isascii() else part.encode().decode("latin-1").translate(self.as_bytes)
-                got = self.piece[part] = tuple(self.ints[t.id] for t in self.model.tokenize(raw))
-            ids += got
-        return ids
+        return [i for part in self.parts.findall(low) for i in self._piece(part)]
 
     def _add(self, words: list[str]) -> None:
         new = [self._ids(w) for w in words]
@@ -97,13 +104,12 @@ class Encoder:
         words = vocab.to_pylist()
         if len(self.number) + len(words) > KEPT:
             self.reset()
-        get = self.number.get
-        at = [get(w, -1) for w in words]
-        missing = [w for w, k in zip(words, at) if k < 0]
-        if missing:
-            self._add(missing)
-            at = [get(w) for w in words]
-        at = np.asarray(at, np.int64)
+        get, n = self.number.get, len(self.number)
+        at = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            self._add([words[k] for k in missing.tolist()])
+            at[missing] = np.arange(n, n + len(missing))
         where = at[codes] if len(codes) else codes
         sizes = self.size[where]
         ends = np.concatenate([[0], np.cumsum(sizes)])
