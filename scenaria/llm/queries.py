@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scenaria.llm.decontam import op9_decontamination
+from scenaria.llm.html import op6_main_text
 from scenaria.llm.packing import op8_packing
 from scenaria.llm.passages import op3_repeated_passages
 from scenaria.llm.pii import op2_pii
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repeated_passages": op3_repeated_passages,
     "op4_vector_links": op4_vector_links,
     "op5_token_output": op5_token_output,
+    "op6_main_text": op6_main_text,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
