@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scenaria.llm.common import mix64, ship, split_words, table
 
@@ -180,6 +182,43 @@ def fewest_edits(item: np.ndarray, region: np.ndarray) -> int:
     return int(row.min())
 
 
+def _parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about AT_ONCE bytes of text (whole texts)."""
+    size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64)
+    part = np.cumsum(size) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield b.slice(lo, hi - lo)
+
+
+def indexes(items: DataFrame, item_col: str, item_text: str) -> Iterator[Broadcast]:
+    """The items as broadcast indexes of about BLOCK_BYTES of text each, whatever the benchmark holds."""
+    sc = items.sparkSession.sparkContext
+    given = items.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    for block in range(blocks):
+        some = given.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
+        yield sc.broadcast(Index([r["item"] for r in some], [r["text"] for r in some]))
+
+
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no passage close to an item (see ``find_items``)."""
+    ship(docs.sparkSession)
+    for index in indexes(items, item_col, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            own = index.value
+            for b in batches:
+                for some in _parts(b, b.num_columns - 1):
+                    hit = np.zeros(some.num_rows, bool)
+                    hit[[m[0] for m in own.matches(*plain_words(some.columns[-1]))]] = True
+                    yield some.filter(pa.array(~hit)).select(range(b.num_columns - 1))
+
+        docs = docs.withColumn("__searched", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return docs
+
+
 def find_items(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -189,28 +228,18 @@ def find_items(
     Items without words match nothing, and so do null and empty texts. Repeated rows of
     ``docs`` and items come back repeated. Ids may be null.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    size = items.agg(F.sum(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    given = items.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
-    kind, item_kind = rows.schema["id"].dataType, given.schema["item"].dataType
+    kind, item_kind = rows.schema["id"].dataType, items.schema[item_col].dataType
+    item_type = to_arrow_type(item_kind)
     schema = f"id {kind.simpleString()}, item {item_kind.simpleString()}, start long, n_edits long, n_words long"
     found = None
-    for block in range(blocks):
-        # About BLOCK_BYTES of text, whatever the benchmark holds.
-        some = given.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(Index([r["item"] for r in some], [r["text"] for r in some]))
+    for index in indexes(items, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
             for b in batches:
-                size = np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0), np.int64)
-                part = np.cumsum(size) // AT_ONCE
-                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
-                for lo, hi in zip(cuts[:-1], cuts[1:]):
-                    some = b.slice(lo, hi - lo)
+                for some in _parts(b, 1):
                     hits = own.matches(*plain_words(some.column(1)))
                     doc, item, start, edits = (list(x) for x in zip(*hits)) if hits else ([], [], [], [])
                     yield pa.RecordBatch.from_arrays(
@@ -224,9 +253,6 @@ def find_items(
                         ["id", "item", "start", "n_edits", "n_words"],
                     )
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        item_type = to_arrow_type(item_kind)
         one = rows.mapInArrow(run, schema)
         found = one if found is None else found.union(one)
     return found.withColumn("similarity", 1 - F.col("n_edits") / F.col("n_words"))

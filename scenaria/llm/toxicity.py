@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scenaria.llm.common import mix64, ship, split_words, table
 
@@ -171,25 +172,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["text"] for r in found], np.array([r["label"] for r in found]))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): the probability of class 1 of every text. Null and empty texts, and those
-    without a known n-gram, get the score of the bias alone. Repeated rows stay."""
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out``: the probability of class 1 of every text. Null and empty
+    texts, and those without a known n-gram, get the score of the bias alone. All rows stay."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((model.row_logit, model.bias))  # 4 MB at any size
+    rows = docs.withColumn("__scored", F.col(text_col).cast("string"))
+    names = [*docs.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for b in batches:
-            size = np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0), np.int64)
+            text = b.columns[-1]
+            size = np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64)
             part = np.cumsum(size) // AT_ONCE
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 some = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(own.score(some.column(1)))], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(own.score(some.columns[-1]))], names)
+
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, score double")
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every row of ``docs``; see ``with_score``."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return with_score(rows, model).select("id", "score")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
