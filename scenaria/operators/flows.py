@@ -82,13 +82,18 @@ def node_trade(
 
 def country_net_flow(trade: DataFrame, country: Column, keys: Sequence[str] = ("Sc", "Sy", "St")) -> DataFrame:
     """Import, export and their difference per country and slice; a side
-    without rows counts as zero."""
-    imp, exp = F.col("Sv") == "import", F.col("Sv") == "export"
+    without rows counts as zero, one with a NULL flow is NULL."""
+
+    def side(kind: str) -> Column:
+        own = F.col("Sv") == kind
+        rows, value = F.count(F.when(own, F.lit(1))), F.when(own, F.col("value"))
+        return F.when(rows == 0, 0.0).when(rows == F.count(value), F.sum(value))
+
     return (
         trade.groupBy(*keys, country.alias("Sr"))
         .agg(
-            F.sum(F.when(imp, F.col("value")).otherwise(0.0)).alias("import"),
-            F.sum(F.when(exp, F.col("value")).otherwise(0.0)).alias("export"),
+            side("import").alias("import"),
+            side("export").alias("export"),
         )
         .withColumn("value", F.col("import") - F.col("export"))
     )

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenaria.operators.joins import natural_join
-from scenaria.session import ensure_checkpoint_dir
+
+BINS = 1024
 
 
 def duration_curve(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], out: str = "T") -> DataFrame:
@@ -21,32 +22,79 @@ def duration_curve(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence
     return df.withColumn(out, F.row_number().over(w))
 
 
-def sorted_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Globally sorted rows with their position (``__id``) and range (``__part``),
-    written to the checkpoint folder so that every later read sees one layout."""
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = df.orderBy(*keys, *order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
-    return placed.withColumn("__part", F.shiftright("__id", 33))
+def _finite(v: Column) -> Column:
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
+def _bin(v: Column, lo: Column, hi: Column) -> Column:
+    """Bin of a value, counted from the high end in the order of a descending
+    sort with NULLs last; 0 if the group has no bounds (it is not cut)."""
+    share = F.floor((v - lo) / (hi - lo) * BINS)
+    return (
+        F.when(lo.isNull(), 0)
+        .when(v.isNull(), BINS + 1)
+        .when(F.isnan(v), -2)
+        .when(v == float("inf"), -1)
+        .when(v == float("-inf"), BINS)
+        .when(hi == lo, 0)
+        .otherwise(BINS - 1 - F.least(share, F.lit(BINS - 1)))
+        .cast("int")
+    )
+
 
+def _bounds(rows: DataFrame, keys: Sequence[str], level: str, target: int) -> DataFrame:
+    """Exact bounds of the large groups; groups of up to ``target`` rows have none."""
+    v, t = _finite(F.col("__v")), _finite(F.col("__t"))
+    stats = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.coalesce(F.min(v), F.lit(0.0)).alias(f"__lo{level}"),
+        F.coalesce(F.max(v), F.lit(0.0)).alias(f"__hi{level}"),
+        F.min(t).alias(f"__tl{level}"),
+        F.max(t).alias(f"__th{level}"),
+    )
+    return stats.filter(F.col("__n") > target).drop("__n")
 
-def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "T") -> DataFrame:
-    """``row_number`` for groups without a size bound.
 
-    One global sort by (group, order) cuts a hot group into many ranges of
-    about equal size. The sorted rows carry their partition and position; a
-    group's first position and row count per partition, a table of groups x
-    partitions, turn that into the rank. No second shuffle of the rows.
+def binned_rows(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], target: int) -> DataFrame:
+    """``df`` with two bin numbers (``__b1``, ``__b2``) that follow the ranking order.
 
-    The sorted rows are written to the checkpoint folder (an action): both
-    reads of them must see the same layout even if executors are lost in
-    between. Rows that tie on the whole order always share a range, so the
-    order should end in a distinguishing column.
+    A group of more than ``target`` rows is cut into equal ranges between its
+    smallest and largest value; a bin that still holds more is cut once more,
+    by its own bounds or, if it holds one repeated value, by the first tie
+    column (if that is a number). Bounds are exact minima and maxima: they do
+    not depend on the order of rows, so every evaluation gives the same bins.
     """
     keys = list(keys)
-    placed = sorted_positions(df, keys, order)
-    ranges = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
-    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1
-    shift = ranges.select(*keys, "__part", before.alias("__shift"))
-    ranked = natural_join(placed, shift, "left", on=[*keys, "__part"])
-    return ranked.withColumn(out, F.col("__id") + F.col("__shift")).drop("__id", "__part", "__shift")
+    numeric = bool(tie) and df.select(tie[0]).schema[0].dataType.typeName() in ("integer", "long", "double", "float", "short", "byte")
+    rows = df.withColumns({"__v": F.col(value).cast("double"), "__t": F.col(tie[0]).cast("double") if numeric else F.lit(None).cast("double")})
+    rows = natural_join(rows, _bounds(rows, keys, "1", target), "left", on=keys)
+    rows = rows.withColumn("__b1", _bin(F.col("__v"), F.col("__lo1"), F.col("__hi1")))
+    rows = natural_join(rows, _bounds(rows, [*keys, "__b1"], "2", target), "left", on=[*keys, "__b1"])
+    one_value = F.col("__lo2") == F.col("__hi2")
+    by_tie = BINS - 1 - _bin(F.col("__t"), F.col("__tl2"), F.col("__th2"))
+    by_tie = F.when(F.col("__t").isNull(), -3).otherwise(by_tie)
+    cut = F.when(one_value & F.col("__tl2").isNotNull(), by_tie).otherwise(_bin(F.col("__v"), F.col("__lo2"), F.col("__hi2")))
+    return rows.withColumn("__b2", F.coalesce(cut, F.lit(0)))
+
+
+def rank_rows(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str] = (), out: str = "T", target: int = 1_000_000) -> DataFrame:
+    """Position in each group by ``value`` from high to low (NULLs last), then
+    by the tie columns, for groups without a size bound.
+
+    Rows are numbered within bins (see :func:`binned_rows`); what lies in the
+    bins before is a running sum over counts. Everything is lazy: nothing is
+    run or stored while the plan is built. Groups of up to ``target`` rows are one bin, and only
+    the bounds and counts of larger groups are joined. The order should end in
+    a distinguishing column.
+    """
+    keys, bins = list(keys), ["__b1", "__b2"]
+    rows = binned_rows(df, keys, value, tie, target)
+    large = rows.filter(F.col("__lo1").isNotNull())
+    counts = large.groupBy(*keys, *bins).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, *bins, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*keys, *bins).orderBy(F.col(value).desc_nulls_last(), *tie)
+    numbered = rows.withColumn("__row", F.row_number().over(within))
+    ranked = natural_join(numbered, before, "left", on=[*keys, *bins])
+    rank = F.col("__row") + F.coalesce(F.col("__before"), F.lit(0))
+    return ranked.select(*df.columns, rank.cast("long").alias(out))

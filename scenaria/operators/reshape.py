@@ -4,6 +4,11 @@ No operator here pivots on values found in the data and none pairs the rows of
 a group with each other. Completion expands short domain arrays; an observed
 domain (the distinct values of an index column) is read as a scalar subquery
 over the same aggregate, so Spark reuses the aggregate's exchange.
+
+One rule for all of them: NULL keys are an ordinary group, and two rows for one
+cell are an error unless the caller says how to combine them. The cells of a
+series travel as one array (a series has as many as its domain has steps), so
+completing reads its input once; a grid of extra rows would read it twice.
 """
 
 from __future__ import annotations
@@ -20,6 +25,9 @@ from scenaria.sources.inline import sql_literal
 
 Domain = Sequence[Any] | DataFrame | None
 
+#: Values of an observed domain that may be unrolled as an array.
+MAX_OBSERVED = 100_000
+
 
 def _lits(values: Sequence[Any]) -> Column:
     return F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")")
@@ -33,7 +41,9 @@ def _observed(df: DataFrame, col: str, with_value: str | None = None) -> Column:
     """
     flag = F.lit(False) if with_value is None else F.col(with_value).isNull()
     seen = F.collect_set(F.struct(F.col(col).alias("k"), flag.alias("m")))
-    return df.agg(F.array_distinct(F.transform(seen, lambda e: e["k"]))).scalar()
+    values = F.array_distinct(F.transform(seen, lambda e: e["k"]))
+    long = F.raise_error(F.lit(f"more than {MAX_OBSERVED} values of {col}: give the domain as a table and {col} as the last key"))
+    return df.agg(F.when(F.size(seen) > 2 * MAX_OBSERVED, long).otherwise(values)).scalar()
 
 
 def _domain(df: DataFrame, col: str, domain: Domain, value: str | None) -> Column:
@@ -47,6 +57,11 @@ def _domain(df: DataFrame, col: str, domain: Domain, value: str | None) -> Colum
 # long <-> wide ---------------------------------------------------------------
 
 
+def _one_cell(hits: int | Column, value: Column, what: str) -> Column:
+    """``value``, or an error if the cell has several rows."""
+    return F.when(hits > 1, F.raise_error(F.lit(f"several rows for one {what}; say how to combine them"))).otherwise(value)
+
+
 def pivot_wider(
     df: DataFrame,
     ids: Sequence[str],
@@ -54,16 +69,26 @@ def pivot_wider(
     values: str,
     columns: Sequence[Any] | Mapping[Any, str],
     fill: Any = None,
+    combine: str = "only",
 ) -> DataFrame:
     """One column per listed name. One grouped pass; ``fill`` is for absent
-    pairs only, a stored NULL stays NULL."""
+    pairs only, a stored NULL stays NULL.
+
+    ``combine`` is for several rows of one cell: ``only`` raises, ``sum`` adds
+    what is there, ``strict_sum`` gives NULL as soon as one is NULL.
+    """
     aliases = dict(columns) if isinstance(columns, Mapping) else {c: str(c) for c in columns}
     aggs = []
     for name, alias in aliases.items():
-        hit = F.col(names) == F.lit(name)
-        cell = F.max(F.when(hit, F.col(values)))
+        hit = F.col(names).eqNullSafe(F.lit(name))
+        rows, cells = F.count(F.when(hit, F.lit(1))), F.when(hit, F.col(values))
+        cell = {
+            "only": lambda: _one_cell(rows, F.max(cells), f"{names} = {name}"),  # noqa: B023
+            "sum": lambda: F.sum(cells),  # noqa: B023
+            "strict_sum": lambda: F.when(rows == F.count(cells), F.sum(cells)),  # noqa: B023
+        }[combine]()
         if fill is not None:
-            cell = F.when(F.count(F.when(hit, F.lit(1))) == 0, F.lit(fill)).otherwise(cell)
+            cell = F.when(rows == 0, F.lit(fill)).otherwise(cell)
         aggs.append(cell.alias(alias))
     return df.groupBy(*ids).agg(*aggs)
 
@@ -84,17 +109,46 @@ def pivot_longer(
 # completion ------------------------------------------------------------------
 
 
-def densify(df: DataFrame, ids: Sequence[str], along: str, value: str = "value", fill: Any = 0.0, domain: Domain = None) -> DataFrame:
+def _packed(df: DataFrame, ids: Sequence[str], key: Column, value: str) -> DataFrame:
+    """The cells of each id as an array ``__m`` of (k, v)."""
+    return df.groupBy(*ids).agg(F.collect_list(F.struct(key.alias("k"), F.col(value).alias("v"))).alias("__m"))
+
+
+def _cell(key: Column, what: str, combine: str) -> Column:
+    """The value of the cell ``key`` of ``__m``, NULL if there is none; NULL is a key like any other."""
+    hits = F.filter("__m", lambda c: c["k"].eqNullSafe(key))
+    first = F.get(hits, F.lit(0))["v"]
+    if combine == "only":
+        return _one_cell(F.size(hits), first, what)
+    each = {"sum": lambda v: F.coalesce(v, F.lit(0)), "strict_sum": lambda v: v}[combine]
+    rest = F.slice(hits, F.lit(2), F.greatest(F.size(hits) - 1, F.lit(0)))
+    return F.aggregate(rest, each(first), lambda a, c: a + each(c["v"]))
+
+
+def densify(
+    df: DataFrame,
+    ids: Sequence[str],
+    along: str,
+    value: str = "value",
+    fill: Any = 0.0,
+    domain: Domain = None,
+    keep_outside: bool = True,
+    combine: str = "only",
+) -> DataFrame:
     """Every id combination gets every value of ``along``, absent ones filled.
 
-    The rows of an id are one per bin, so they travel as a small map and the
+    The rows of an id are one per bin, so they travel as a small array and the
     grid is unrolled from it: one shuffle on the ids, no join. Give ``domain``
-    when the bins are known to save the subquery.
+    when the bins are known to save the subquery; rows outside of it stay
+    unless ``keep_outside`` is off.
     """
-    cells = F.map_from_entries(F.collect_list(F.struct(along, value)))
-    packed = df.groupBy(*ids).agg(cells.alias("__m"))
-    grid = packed.select(*ids, "__m", F.explode(_domain(df, along, domain, value)).alias(along))
-    return grid.select(*ids, along, F.coalesce(F.col("__m")[F.col(along)], F.lit(fill)).alias(value))
+    steps = _domain(df, along, domain, value)
+    if domain is not None:
+        steps = steps.cast(f"array<{df.schema[along].dataType.simpleString()}>")
+        if keep_outside:
+            steps = F.array_union(steps, F.transform("__m", lambda c: c["k"]))
+    grid = _packed(df, ids, F.col(along), value).select(*ids, "__m", F.explode(steps).alias(along))
+    return grid.select(*ids, along, F.coalesce(_cell(F.col(along), along, combine), F.lit(fill)).alias(value))
 
 
 def complete_series(
@@ -105,25 +159,25 @@ def complete_series(
     value: str = "value",
     fill: Any = None,
     keep_outside: bool = True,
+    combine: str = "only",
 ) -> DataFrame:
     """Supply a fixed domain within each group.
 
     ``along`` is one column, or several with a domain of tuples. ``fill`` also
     replaces values that are NULL already. Rows of the group outside the domain
-    are kept unless ``keep_outside`` is off. (group, along) must be unique.
+    are kept unless ``keep_outside`` is off.
     """
     if isinstance(along, str):
         key, back = F.col(along), [F.col("__k").alias(along)]
         grid = domain if isinstance(domain, Column) else _lits(domain)
+        grid = grid.cast(f"array<{df.schema[along].dataType.simpleString()}>")
     else:
         key, back = F.struct(*along), [F.col(f"__k.{c}").alias(c) for c in along]
         typed = [[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(along, step)] for step in domain]
         grid = F.array(*[F.struct(*step) for step in typed])
-    cells = F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col(value).alias("v"))))
-    packed = df.groupBy(*group).agg(cells.alias("__m"))
-    steps = F.array_union(grid, F.map_keys("__m")) if keep_outside else grid
-    rows = packed.select(*group, "__m", F.explode(steps).alias("__k"))
-    cell = F.col("__m")[F.col("__k")]
+    steps = F.array_union(grid, F.transform("__m", lambda c: c["k"])) if keep_outside else grid
+    rows = _packed(df, group, key, value).select(*group, "__m", F.explode(steps).alias("__k"))
+    cell = _cell(F.col("__k"), str(along), combine)
     return rows.select(*group, *back, (cell if fill is None else F.coalesce(cell, F.lit(fill))).alias(value))
 
 
@@ -177,9 +231,11 @@ def complete_sum(
     The grid joins in as zero rows before the sum, so completion costs no
     join: facts and grid share the one shuffle of the aggregation.
     """
-    facts = df.groupBy(*keys).agg(F.coalesce(strict_sum(value), F.lit(0.0)).alias(value))
+    # NULL stays NULL up to the last step: were it replaced here, the domain branches would lose
+    # ``value`` and with it the exchange that they share with the facts.
+    facts = df.groupBy(*keys).agg(strict_sum(value).alias(value))
     grid = _grid(facts, keys, domains or {}, value).select(*keys, F.lit(0.0).alias(value))
-    return facts.unionByName(grid).groupBy(*keys).agg(F.sum(value).alias(value))
+    return facts.unionByName(grid).groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(value))
 
 
 # differences -----------------------------------------------------------------
@@ -193,18 +249,23 @@ def delta_vs_baseline(
     baseline: str = "NoPOL",
     scenarios: Sequence[str] | None = None,
     drop_baseline: bool = True,
+    keep_outside: bool = True,
+    combine: str = "only",
 ) -> DataFrame:
     """Every scenario minus the baseline, absent cells zero.
 
-    ``scenarios`` is the scenario domain (observed by default); the scenarios
-    of one key travel as a small map, as in :func:`densify`.
+    ``scenarios`` is the scenario domain (observed by default); scenarios
+    outside of it stay unless ``keep_outside`` is off. The scenarios of one key
+    travel as a small array, as in :func:`densify`.
     """
-    dense = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(scenario, value))).alias("__m"))
-    rows = dense.select(*keys, "__m", F.explode(_domain(df, scenario, scenarios, value)).alias(scenario))
+    steps = _domain(df, scenario, scenarios, value)
+    if scenarios is not None and keep_outside:
+        steps = F.array_union(steps, F.transform("__m", lambda c: c["k"]))
+    rows = _packed(df, keys, F.col(scenario), value).select(*keys, "__m", F.explode(steps).alias(scenario))
     if drop_baseline:
-        rows = rows.filter(F.col(scenario) != baseline)
-    cell = F.coalesce(F.col("__m")[F.col(scenario)], F.lit(0.0))
-    base = F.coalesce(F.col("__m")[F.lit(baseline)], F.lit(0.0))
+        rows = rows.filter(~F.col(scenario).eqNullSafe(F.lit(baseline)))
+    cell = F.coalesce(_cell(F.col(scenario), scenario, combine), F.lit(0.0))
+    base = F.coalesce(_cell(F.lit(baseline), scenario, combine), F.lit(0.0))
     return rows.select(*keys, scenario, (cell - base).alias(value))
 
 
@@ -216,8 +277,10 @@ def contrast(
     minus: str,
     value: str = "value",
     fill: float | None = None,
+    combine: str = "only",
 ) -> DataFrame:
     """``plus`` minus ``minus`` per key. With ``fill`` an absent side takes
-    that value; without it the difference is NULL."""
-    wide = pivot_wider(df, keys, names, value, {plus: "__a", minus: "__b"}, fill)
+    that value; without it the difference is NULL. ``combine``: as in
+    :func:`pivot_wider`."""
+    wide = pivot_wider(df, keys, names, value, {plus: "__a", minus: "__b"}, fill, combine)
     return wide.select(*keys, (F.col("__a") - F.col("__b")).alias(value))

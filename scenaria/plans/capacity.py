@@ -35,7 +35,7 @@ from scenaria.operators import (
     union_rows,
     with_totals,
 )
-from scenaria.plans.panel import labelled
+from scenaria.plans.panel import labelled, of_codes
 from scenaria.sources import inline_table
 
 
@@ -56,7 +56,7 @@ def corridor_capacity(
     """Capacity per corridor; links outside of the named corridors stay as one
     NULL corridor. ``scenarios`` adds the scenario categories."""
     ends = split_link(link_cap, "PW_LNK").withColumn("Sv", class_of_ends("N0", "N1", corridors))
-    total = grouped_sum(labelled(ends, labels, keep), ["Sc", "Sv", "Y5"])
+    total = grouped_sum(of_codes(ends, labels, keep), ["Sc", "Sv", "Y5"]).withColumn("Sc", recode("Sc", labels))
     out = total.withColumn("Flag", link_scope("Sv") if flag is None else flag)
     if scenarios is None:
         return out
@@ -90,8 +90,9 @@ def domestic_links(
     end_pattern: str = "JP-",
 ) -> DataFrame:
     """Readable link capacities, the small links summed as ``Other``."""
-    rows = labelled(named_links(link_cap, end_pattern), labels, keep).filter(F.col("Y5") >= first_year)
-    return grouped_sum(rows.withColumn("Sv", recode("Sv", collapse_to)), ["Sc", "Sv", "Y5"])
+    rows = of_codes(named_links(link_cap, end_pattern), labels, keep).filter(F.col("Y5") >= first_year)
+    total = grouped_sum(rows.withColumn("Sv", recode("Sv", collapse_to)), ["Sc", "Sv", "Y5"])
+    return total.withColumn("Sc", recode("Sc", labels))
 
 
 def link_difference(
@@ -172,8 +173,8 @@ def storage_rows(sto_cap: DataFrame, region_pattern: str | None = None) -> DataF
 
 def binned_capacity(rows: DataFrame, labels: Mapping[str, str], keep: Sequence[str], countries: Sequence[tuple[str, str]] = tuple(vocab.COUNTRY_OF_NODE)) -> DataFrame:
     """Mean per node and five-year bin, with the node's country."""
-    binned = labelled(rows, labels, keep).withColumns({"Sr2": first_match("Sr", countries), "Y5": year_bin("Sy")})
-    return grouped_mean(binned, ["Sc", "Sr", "Sr2", "Sv", "Y5"])
+    binned = of_codes(rows, labels, keep).withColumns({"Sr2": first_match("Sr", countries), "Y5": year_bin("Sy")})
+    return grouped_mean(binned, ["Sc", "Sr", "Sr2", "Sv", "Y5"]).withColumn("Sc", recode("Sc", labels))
 
 
 def storage_capacity(sto_cap: DataFrame, labels: Mapping[str, str], keep: Sequence[str], countries: Sequence[tuple[str, str]] = tuple(vocab.COUNTRY_OF_NODE)) -> DataFrame:

@@ -167,6 +167,12 @@ def absolute_to_pct(df: DataFrame, value: str = "value", gdp: str = "GDP", divis
     return df.withColumns({"trillion": tr, "pct": percent_of(tr * F.lit(divisor), F.col(gdp))})
 
 
+def cost_per_year(increment: DataFrame, base: int = 2020, label: str = "Total") -> DataFrame:
+    """Discounted cost of all classes per scenario, year and country, and over all countries."""
+    pv = increment.withColumn("value", F.col("value") * discount_factor("YEAR", base))
+    return with_totals(grouped_sum(pv, ["Sc", "YEAR", "Sr2"]), ["Sc", "YEAR"], "Sr2", label)
+
+
 def cost_per_decade(
     increment: DataFrame,
     yearly_gdp: DataFrame,
@@ -178,8 +184,8 @@ def cost_per_decade(
     deflator: float = vocab.GDP_DEFLATOR,
 ) -> DataFrame:
     """Discounted cost of all countries per decade beside the decade's GDP."""
-    pv = F.col("value") * discount_factor("YEAR", base)
-    cost = decade_sum(increment.withColumn("value", pv), ["Sc"], first=first, last=last)
+    everywhere = cost_per_year(increment, base).filter(F.col("Sr2") == "Total")
+    cost = decade_sum(everywhere, ["Sc"], first=first, last=last)
     gdp_pv = F.col("GDP") * discount_factor("YEAR", base) * F.lit(unit * deflator)
     gdp = decade_sum(yearly_gdp.withColumn("GDP", gdp_pv), [], "GDP", first=first, last=last)
     out = natural_join(cost.withColumn("Sc", recode("Sc", labels)), gdp, on=["Y10"])

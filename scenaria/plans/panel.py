@@ -30,9 +30,16 @@ def scenario_matrix(scenarios: DataFrame, labels: Mapping[str, str], feasible: b
     )
 
 
+def of_codes(df: DataFrame, labels: Mapping[str, str], keep: Sequence[str], col: str = "Sc") -> DataFrame:
+    """Rows of the wanted scenarios under their raw codes (reaches the scan).
+    Sums and means are made per code and relabelled after, so that two codes
+    with one label stay two rows."""
+    return df.filter(F.col(col).isin(codes_of(labels, keep)))
+
+
 def labelled(df: DataFrame, labels: Mapping[str, str], keep: Sequence[str], col: str = "Sc") -> DataFrame:
     """Filter on raw codes (reaches the scan), then relabel."""
-    return df.filter(F.col(col).isin(codes_of(labels, keep))).withColumn(col, recode(col, labels))
+    return of_codes(df, labels, keep, col).withColumn(col, recode(col, labels))
 
 
 def annual_panel(annual: DataFrame, labels: Mapping[str, str], keep: Sequence[str], bins: Sequence[int] | DataFrame | None = None) -> DataFrame:

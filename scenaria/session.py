@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -12,8 +11,7 @@ def local_session(app: str = "scenaria", cores: str | int = "*", shuffle_partiti
     """A local session with the settings the library is tested under.
 
     On a cluster use the session the platform gives you; nothing in the
-    library depends on the values below except the checkpoint folder, which is
-    only set here when the session has none.
+    library depends on the values below.
     """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -27,18 +25,3 @@ def local_session(app: str = "scenaria", cores: str | int = "*", shuffle_partiti
         .config("spark.driver.memory", os.environ.get("SCENARIA_DRIVER_MEMORY", "8g"))
     )
     return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; fall back to a temporary
-    folder only for a local master that names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="scenaria-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before ranking unbounded groups")

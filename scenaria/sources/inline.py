@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-MAX_INLINE_ROWS = 10_000
+#: Longer (and empty) literal tables enter the plan as an Arrow table instead of SQL text, with the same result.
+MAX_SQL_ROWS = 1_000
 
 
 def sql_literal(v: object) -> str:
@@ -26,9 +29,11 @@ def inline_table(spark: SparkSession, schema: str, rows: Sequence[Sequence]) ->
     It becomes a ``LocalRelation``: Spark knows its exact size (so it is joined
     by broadcast without a hint) and can fold it at planning time.
     """
-    if not rows or len(rows) > MAX_INLINE_ROWS:
-        raise ValueError(f"inline tables hold 1..{MAX_INLINE_ROWS} rows, got {len(rows)}")
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    if not rows or len(rows) > MAX_SQL_ROWS:
+        text = [[None if r[k] is None else str(r[k]) for r in rows] for k in range(len(fields))]
+        table = pa.table([pa.array(c, pa.string()) for c in text], [n for n, _ in fields])
+        return spark.createDataFrame(table).select(*[F.col(f"`{n}`").cast(t).alias(n) for n, t in fields])
     names = ", ".join(f"`{n}`" for n, _ in fields)
     values = ", ".join("(" + ", ".join(sql_literal(v) for v in r) + ")" for r in rows)
     casts = ", ".join(f"CAST(`{n}` AS {t}) AS `{n}`" for n, t in fields)

@@ -6,6 +6,7 @@ beyond their last digit, so that no value lies on a rounding boundary.
 
 from __future__ import annotations
 
+from scenaria.functions import recode
 from scenaria.plans import costs
 from scenaria.workload import emulate as em
 from scenaria.workload import oracle as o
@@ -161,6 +162,19 @@ def cost_axis_pct(spark, d):
 _DEC = "CASE WHEN YEAR <= 2030 THEN '2021-30' WHEN YEAR <= 2040 THEN '2031-40' ELSE '2041-50' END"
 
 
+@query(
+    "T49 A8",
+    f"""
+    WITH c AS (SELECT {SC} AS Sc, CAST(YEAR AS INTEGER) AS YEAR, Sr2, sum(value * pow(0.95, YEAR - 2020)) AS value
+               FROM fx_increment GROUP BY ALL)
+    SELECT Sc, YEAR, Sr2, round(value / 1e6, 4) AS value FROM c
+    UNION ALL SELECT Sc, YEAR, 'Total', round(sum(value) / 1e6, 4) FROM c GROUP BY Sc, YEAR""",
+)
+def cost_per_year(spark, d):
+    yearly = costs.cost_per_year(increment_of(spark, d))
+    return rounded(yearly.withColumn("Sc", recode("Sc", em.LABELS)), divisor=M)
+
+
 @query(
     "T49 J1",
     f"""

@@ -46,6 +46,25 @@ def demand_by_country(spark, d):
     return rounded(inputs.demand_by_country(em.yearly_demand(spark, d), em.LABELS, KEEP, "H2", YEARS))
 
 
+@query(
+    "T50 R6 Q13",
+    f"""
+    WITH d AS (SELECT {o.country('N')} AS Sr, {SC} AS Sc, CASE WHEN Y <> 2015 THEN Y END AS Y, value
+               FROM fx_ydmd WHERE I = 'H2' AND {SC} IN {o.in_list(KEEP)}),
+         t AS (SELECT Sr, Sc, CAST(Y AS INTEGER) AS Y, sum(value) AS value FROM d GROUP BY ALL),
+         k AS (SELECT DISTINCT Sr, Sc FROM d),
+         g AS (SELECT Sr, Sc, CAST(y.Y AS INTEGER) AS Y FROM k CROSS JOIN (SELECT unnest(range(2005, 2051, 5)) AS Y) y
+               UNION SELECT Sr, Sc, Y FROM t)
+    SELECT g.Sr, 'H2' AS I, g.Sc, g.Y, round(coalesce(t.value, 0), 4) AS value
+    FROM g LEFT JOIN t ON t.Sr IS NOT DISTINCT FROM g.Sr AND t.Sc = g.Sc AND t.Y IS NOT DISTINCT FROM g.Y""",
+)
+def demand_with_unreadable_year(spark, d):
+    """A year text that is no number makes a group of its own, without a year."""
+    demand = em.yearly_demand(spark, d)
+    demand = demand.withColumn("Y", F.when(F.col("Y").cast("string") == "2015", "n/a").otherwise(F.col("Y").cast("string")))
+    return rounded(inputs.demand_by_country(demand, em.LABELS, KEEP, "H2", YEARS))
+
+
 @query("T51 S3 A1", "SELECT Y, round(sum(value), 4) AS value FROM fx_cap WHERE Sc = '5-LOW' GROUP BY Y")
 def emission_cap(spark, d):
     caps = em.emission_caps(spark, d).filter(F.col("Sc") == "5-LOW")

@@ -66,6 +66,18 @@ def annual_panel_given_bins(spark, d):
     return rounded(panel.annual_panel(em.annual(spark, d), em.LABELS, SHOWN, bins=[1995, 2000, 2005]))
 
 
+@query(
+    "T2 R3",
+    f"""
+    SELECT p.Sc, p.Sv, p.Sr, p.Y5, round(p.value, 4) AS value FROM fx_panel p
+    LEFT JOIN fx_means m ON m.Sc = p.Sc AND m.Sv = p.Sv AND m.Sr = p.Sr AND m.Y5 = p.Y5
+    WHERE p.Sc IN {o.in_list(SHOWN)} AND (p.Y5 IN (1995, 2000) OR m.Sc IS NOT NULL)""",
+)
+def annual_panel_outside_bins(spark, d):
+    """A horizon shorter than the data: later bins stay where a series has them."""
+    return rounded(panel.annual_panel(em.annual(spark, d), em.LABELS, SHOWN, bins=[1995, 2000]))
+
+
 @query("T4 F3 P5 A1 P16", "SELECT Sc, Sv, Sr, Y5, round(value, 4) AS value, cat1, cat2 FROM fx_mix")
 def generation_mix(spark, d):
     return rounded(mix_of(spark, d))

@@ -75,8 +75,7 @@ def price_duration_curve(spark, d):
 def price_curve_every_line(spark, d):
     """The curve over raw rows: groups have no bound, so ranks are distributed."""
     rows = em.lines(spark, d).select("Sc", F.col("l_extendedprice").alias("value"), "l_orderkey", "l_linenumber", "l_partkey")
-    order = [F.col("value").desc(), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]
-    ranked = rank_rows(rows, ["Sc"], order)
+    ranked = rank_rows(rows, ["Sc"], "value", ["l_orderkey", "l_linenumber", "l_partkey"])
     return ranked.select(recode("Sc", em.LABELS).alias("Sc"), "value", "T")
 
 

@@ -188,7 +188,10 @@ def test_pivot_longer_casts_names(table):
 def test_densify_observed_and_given(table):
     df = table("id string, Y5 int, value double", ("a", 1, 1.0), ("b", 2, None))
     assert rows_of(op.densify(df, ["id"], "Y5")) == [("a", 1, 1.0), ("a", 2, 0.0), ("b", 1, 0.0), ("b", 2, 0.0)]
-    assert rows_of(op.densify(df, ["id"], "Y5", domain=[1, 3])) == [("a", 1, 1.0), ("a", 3, 0.0), ("b", 1, 0.0), ("b", 3, 0.0)]
+    only = op.densify(df, ["id"], "Y5", domain=[1, 3], keep_outside=False)
+    assert rows_of(only) == [("a", 1, 1.0), ("a", 3, 0.0), ("b", 1, 0.0), ("b", 3, 0.0)]
+    outside = op.densify(df, ["id"], "Y5", domain=[1, 3])
+    assert rows_of(outside) == [("a", 1, 1.0), ("a", 3, 0.0), ("b", 1, 0.0), ("b", 2, 0.0), ("b", 3, 0.0)]
     years = table("y int", (1,), (2,))
     assert rows_of(op.densify(df, ["id"], "Y5", domain=years)) == rows_of(op.densify(df, ["id"], "Y5"))
 
@@ -286,12 +289,86 @@ def test_rank_rows_equals_window_on_a_hot_group(spark):
         (F.hash("id") % 50).cast("double").alias("v"),
         "id",
     )
-    got = op.rank_rows(df, ["g"], [F.col("v").desc(), F.col("id")])
+    got = op.rank_rows(df, ["g"], "v", ["id"], target=100)
     want = op.duration_curve(df, ["g"], "v", ["id"])
     assert rows_of(got, "g", "v", "id", "T") == rows_of(want, "g", "v", "id", "T")
 
 
 def test_rank_rows_with_null_group(table):
     df = table("g string, v int", (None, 1), (None, 3), ("a", 2))
-    got = op.rank_rows(df, ["g"], [F.col("v").desc()])
+    got = op.rank_rows(df, ["g"], "v")
     assert rows_of(got, "g", "v", "T") == [("a", 2, 1), (None, 1, 2), (None, 3, 1)]
+
+
+def same_ranks(df, target, tie=("id",)):
+    got = op.rank_rows(df, ["g"], "v", list(tie), target=target)
+    want = op.duration_curve(df, ["g"], "v", list(tie))
+    cols = ["g", "v", *tie, "T"]
+    assert [str(r) for r in rows_of(got, *cols)] == [str(r) for r in rows_of(want, *cols)]
+
+
+def test_rank_rows_of_any_distribution(spark):
+    """Many small groups, all values equal, odd values, a few values far out."""
+    many = spark.range(3000, numPartitions=5).select((F.col("id") % 700).alias("g"), (F.hash("id") % 9).alias("v"), "id")
+    same_ranks(many, 100)
+    same_ranks(many.select(F.lit("a").alias("g"), F.lit(2.5).alias("v"), "id"), 50)
+    far = F.when(F.col("id") < 3, F.col("id") * 1e12).otherwise(F.hash("id") % 100 / 1e3)
+    same_ranks(many.select(F.lit(None).cast("string").alias("g"), far.alias("v"), "id"), 50)
+    odd = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 7 == 1, float("nan")).when(F.col("id") % 7 == 2, float("inf"))
+    odd = odd.when(F.col("id") % 7 == 3, float("-inf")).otherwise((F.hash("id") % 5).cast("double"))
+    same_ranks(many.select(F.lit(1).alias("g"), odd.alias("v"), "id"), 50)
+    same_ranks(many.select(F.lit(1).alias("g"), (F.hash("id") % 2).alias("v"), F.col("id").cast("string").alias("id")), 50)
+
+
+def test_rank_rows_runs_nothing_while_planning(spark):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    op.rank_rows(spark.range(100).select(F.lit(1).alias("g"), F.col("id").alias("v")), ["g"], "v", target=10)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
+def raises(df):
+    with pytest.raises(Exception, match="several rows for one"):
+        df.collect()
+
+
+def test_reshape_duplicates_raise_or_combine(table):
+    twice = table("k string, n string, v double", ("a", "x", 1.0), ("a", "x", 5.0), ("a", "y", None), ("b", "y", 2.0), ("b", "y", None))
+    raises(op.pivot_wider(twice, ["k"], "n", "v", ["x", "y"]))
+    assert rows_of(op.pivot_wider(twice, ["k"], "n", "v", ["x", "y"], combine="sum")) == [("a", 6.0, None), ("b", None, 2.0)]
+    assert rows_of(op.pivot_wider(twice, ["k"], "n", "v", ["x", "y"], fill=0.0, combine="strict_sum")) == [("a", 6.0, None), ("b", 0.0, None)]
+    raises(op.contrast(twice, ["k"], "n", "x", "y", "v"))
+    assert rows_of(op.contrast(twice, ["k"], "n", "x", "y", "v", fill=0.0, combine="sum"))[1] == ("b", -2.0)
+    for f in (
+        lambda c: op.densify(twice, ["k"], "n", "v", combine=c),
+        lambda c: op.complete_series(twice, ["k"], "n", ["x"], "v", fill=0.0, combine=c),
+    ):
+        raises(f("only"))
+        assert ("a", "x", 6.0) in rows_of(f("sum")) and ("b", "y", 2.0) in rows_of(f("sum"))
+        assert ("a", "x", 6.0) in rows_of(f("strict_sum")) and ("b", "y", 0.0) in rows_of(f("strict_sum"))
+    raises(op.delta_vs_baseline(twice, ["k"], "n", "v", "x"))
+    assert rows_of(op.delta_vs_baseline(twice, ["k"], "n", "v", "x", combine="sum")) == [("a", "y", -6.0), ("b", "y", 2.0)]
+
+
+def test_reshape_null_keys_are_a_group(table):
+    df = table("k string, y int, v double", ("a", None, 1.0), ("a", 2020, 2.0), ("b", 2025, 3.0))
+    dense = op.densify(df, ["k"], "y", "v")
+    assert ("a", None, 1.0) in rows_of(dense) and ("b", None, 0.0) in rows_of(dense) and dense.count() == 6
+    given = op.densify(df, ["k"], "y", "v", domain=[2020])
+    assert rows_of(given) == [("a", 2020, 2.0), ("a", None, 1.0), ("b", 2020, 0.0), ("b", 2025, 3.0)]
+    series = op.complete_series(df, ["k"], "y", [2020, 2030], "v", fill=0.0)
+    assert ("a", None, 1.0) in rows_of(series) and ("b", 2025, 3.0) in rows_of(series) and series.count() == 6
+    sc = table("k string, Sc string, value double", ("a", None, 5.0), ("a", "NoPOL", 2.0), ("a", "z", 1.0), (None, None, 4.0))
+    want = [("a", "z", -1.0), ("a", None, 3.0), (None, "z", 0.0), (None, None, 4.0)]
+    assert rows_of(op.delta_vs_baseline(sc, ["k"])) == want
+    kept = op.delta_vs_baseline(sc, ["k"], scenarios=["s"])
+    assert ("a", None, 3.0) in rows_of(kept) and ("a", "s", -2.0) in rows_of(kept) and ("a", "z", -1.0) in rows_of(kept)
+    inside = op.delta_vs_baseline(sc, ["k"], scenarios=["s"], keep_outside=False)
+    assert rows_of(inside) == [("a", "s", -2.0), (None, "s", 0.0)]
+
+
+def test_country_net_flow_is_strict(table):
+    rows = [("s", 2020, "t", "JP-A", "import", 3.0), ("s", 2020, "t", "JP-A", "export", None), ("s", 2020, "t", "KR", "import", 2.0)]
+    df = table("Sc string, Sy int, St string, N string, Sv string, value double", *rows)
+    got = rows_of(op.country_net_flow(df, F.col("N")), "Sr", "import", "export", "value")
+    assert got == [("JP-A", 3.0, None, None), ("KR", 2.0, 0.0, 2.0)]

@@ -35,6 +35,12 @@ def test_completion_reads_the_facts_once(spark):
     assert final_plan(df).count("FileScan parquet [l_orderkey") == 1
 
 
+def test_hourly_panel_reads_the_events_once(spark):
+    df = QUERIES["hourly_balance_dense"].plan(spark, SF_DIR)
+    df.collect()
+    assert final_plan(df).count("FileScan parquet [ts") == 1
+
+
 def test_large_joins_do_not_depend_on_broadcast(spark):
     """With broadcasting off the plans still are equi-joins on shuffled keys."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -385,3 +385,23 @@ def test_node_map(mixed, table):
     moved = maps.adjusted_centroids(nodes, {"JP-HD": (0.5, -0.25)})
     assert rows_of(moved) == [("JP-HD", 100.5, 39.75)]
     assert maps.node_slice(nm, "JP-HD", "w/o grid").count() == 0
+
+
+def test_codes_with_one_label_are_not_added_up(table):
+    """Sums and means are made per raw code, relabelled after."""
+    labels = {"a": "same", "b": "same"}
+    links = table("Sc string, PW_LNK string, Y5 int, value double", ("a", "JP-HD-AC_JP-TH-AC", 2050, 1.0), ("b", "JP-HD-AC_JP-TH-AC", 2050, 5.0))
+    got = rows_of(capacity.corridor_capacity(links, labels, ["same"]), "Sc", "value")
+    assert got == [("same", 1.0), ("same", 5.0)]
+    got = rows_of(capacity.domestic_links(links, labels, ["same"]), "Sc", "value")
+    assert got == [("same", 1.0), ("same", 5.0)]
+    rows = table("Sc string, Sr string, Sv string, Sy int, value double", ("a", "KR", "x", 2050, 1.0), ("b", "KR", "x", 2050, 5.0))
+    got = rows_of(capacity.binned_capacity(rows, labels, ["same"], [("KR", "KOR")]), "Sc", "value")
+    assert got == [("same", 1.0), ("same", 5.0)]
+
+
+def test_cost_per_year_has_countries_and_total(table):
+    rows = [("s", 2020, "JPN", "a", 1.0), ("s", 2020, "JPN", "b", 2.0), ("s", 2020, "KOR", "a", 4.0), ("s", 2021, "KOR", "a", 10.0)]
+    df = table("Sc string, YEAR int, Sr2 string, Sv string, value double", *rows)
+    got = rows_of(costs.cost_per_year(df), "YEAR", "Sr2", "value")
+    assert got == [(2020, "JPN", 3.0), (2020, "KOR", 4.0), (2020, "Total", 7.0), (2021, "KOR", 9.5), (2021, "Total", 9.5)]

@@ -81,15 +81,13 @@ def test_hot_join_partitions_are_split(hot_spark, hot_dir):
 
 
 def test_rank_spreads_a_hot_group(hot_spark, hot_dir):
-    """No range of the ranking may hold the whole hot group."""
-    from pyspark.sql import functions as F
-
-    from scenaria.operators.rank import sorted_positions
+    """No bin of the ranking may hold much of the hot group."""
+    from scenaria.operators.rank import binned_rows
     from scenaria.workload import emulate as em
 
     rows = em.lines(hot_spark, hot_dir).select("Sc", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey")
-    placed = sorted_positions(rows, ["Sc"], [F.col("l_extendedprice").desc(), F.col("l_partkey")])
-    ranges = [r["count"] for r in placed.groupBy("Sc", "__part").count().collect()]
+    binned = binned_rows(rows, ["Sc"], "l_extendedprice", ["l_partkey"], 500)
+    bins = [r["count"] for r in binned.groupBy("Sc", "__b1", "__b2").count().collect()]
     groups = [r["count"] for r in rows.groupBy("Sc").count().collect()]
     assert max(groups) > sum(groups) / 3
-    assert max(ranges) < max(groups) / 2
+    assert max(bins) < max(groups) / 20

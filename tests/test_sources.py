@@ -75,8 +75,11 @@ def test_geojson_attributes(spark, tmp_path):
 def test_inline_tables(spark):
     df = src.inline_table(spark, "a string, b int", [("it's", 1), ("back\\slash", None)])
     assert rows_of(df) == [("back\\slash", None), ("it's", 1)]
-    with pytest.raises(ValueError):
-        src.inline_table(spark, "a string", [])
+    empty = src.inline_table(spark, "a string, b int", [])
+    assert empty.count() == 0 and empty.dtypes == [("a", "string"), ("b", "int")]
+    long = src.inline_table(spark, "a string, b int, c double, d boolean", [(f"k{i}", i, i / 7, i % 2 == 0) for i in range(20_000)])
+    assert long.count() == 20_000 and long.dtypes == [("a", "string"), ("b", "int"), ("c", "double"), ("d", "boolean")]
+    assert tuple(long.filter("b = 12345").first()) == ("k12345", 12345, 12345 / 7, False)
     assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
 
 
