@@ -23,7 +23,7 @@ def corridors_of(spark, d):
     return capacity.corridor_capacity(link_cap_of(spark, d), em.LABELS, ALL)
 
 
-@query("T11 S3 F4 X8 A2 P10", "SELECT Sc, PW_LNK, Y5, round(value, 4) AS value FROM fx_lnk_cap")
+@query("T11 F4 X8 A2 P10", "SELECT Sc, PW_LNK, Y5, round(value, 4) AS value FROM fx_lnk_cap")
 def link_capacity_bins(spark, d):
     return rounded(link_cap_of(spark, d))
 
@@ -129,7 +129,7 @@ def link_width_range(spark, d):
     return rounded(capacity.link_width_range(links), "lo", "hi", "limit", digits=6)
 
 
-@query("T17 S3 J4 F8 P4", "SELECT Sc, Sr, Sv, Sy, value FROM fx_gen_cap")
+@query("T17 J4 F8 P4", "SELECT Sc, Sr, Sv, Sy, value FROM fx_gen_cap")
 def generator_capacity(spark, d):
     return capacity.generator_capacity(em.gen_capacity(spark, d))
 
@@ -152,7 +152,7 @@ def self_link_power(spark, d):
     return capacity.intra_node_power(em.link_capacity(spark, d), em.SITE_PATTERN, node_pattern=None, self_links=True)
 
 
-@query("T19 S3 J4 F8 P20 X8 A2", "SELECT Sc, Sr, Sr2, Sv, Y5, round(value, 4) AS value FROM fx_sto_binned")
+@query("T19 J4 F8 P20 X8 A2", "SELECT Sc, Sr, Sr2, Sv, Y5, round(value, 4) AS value FROM fx_sto_binned")
 def storage_capacity(spark, d):
     return rounded(capacity.storage_capacity(em.sto_capacity(spark, d), em.LABELS, ALL))
 

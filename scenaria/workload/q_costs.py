@@ -35,7 +35,7 @@ def gdp_of(spark, d):
     return costs.discounted_gdp(yearly_gdp_of(spark, d), unit=1.0)
 
 
-@query("T42 S3 F1 J1 P11 A1 U1", "SELECT Sc, N, Sv, YEAR, round(value / 1e6, 10) AS value FROM fx_asset_cost")
+@query("T42 F1 J1 P11 A1 U1", "SELECT Sc, N, Sv, YEAR, round(value / 1e6, 10) AS value FROM fx_asset_cost")
 def cost_by_class(spark, d):
     return rounded(costs.asset_cost(em.asset_costs(spark, d)), digits=10, divisor=M)
 
@@ -79,7 +79,7 @@ def cost_totals(spark, d):
     return rounded(costs.cost_all_classes(costs.cost_with_total(npv_of(spark, d))), divisor=M)
 
 
-@query("T46 S5 P5 R2 R6 R9 W4", "SELECT Sr2, YEAR, round(GDP / 1e6, 10) AS \"GDP\" FROM fx_gdp_yearly")
+@query("T46 P5 R2 R6 R9 W4", "SELECT Sr2, YEAR, round(GDP / 1e6, 10) AS \"GDP\" FROM fx_gdp_yearly")
 def gdp_interpolated(spark, d):
     return rounded(yearly_gdp_of(spark, d), "GDP", digits=10, divisor=M)
 

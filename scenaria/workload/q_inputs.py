@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from scenaria import functions as fn
 from scenaria import vocab
 from scenaria.functions.timeslice import hour_window_columns
-from scenaria.operators import split_link
+from scenaria.operators import grouped_sum, split_link
+from scenaria.operators.columns import categories_to_text, map_columns, select_renamed
 from scenaria.plans import inputs, maps
+from scenaria.sources import read_parameter, read_scenarios
 from scenaria.workload import emulate as em
 from scenaria.workload import oracle as o
 from scenaria.workload.q_mix import SHOWN, fossil_mix_of
@@ -21,7 +23,7 @@ CARRIER = o.recode("k.I", inputs.CARRIER_LABEL)
 
 
 @query(
-    "T50 S3 P20 A1 R6",
+    "T50 P20 A1 R6",
     f"""
     SELECT {CARRIER} AS I, s.Sc, CAST(y.Y AS INTEGER) AS Y, round(coalesce(v.value, 0), 4) AS value
     FROM (SELECT DISTINCT I FROM fx_ydmd) k CROSS JOIN (SELECT unnest({KEEP}) AS Sc) s
@@ -65,7 +67,7 @@ def demand_with_unreadable_year(spark, d):
     return rounded(inputs.demand_by_country(demand, em.LABELS, KEEP, "H2", YEARS))
 
 
-@query("T51 S3 A1", "SELECT Y, round(sum(value), 4) AS value FROM fx_cap WHERE Sc = '5-LOW' GROUP BY Y")
+@query("T51 A1", "SELECT Y, round(sum(value), 4) AS value FROM fx_cap WHERE Sc = '5-LOW' GROUP BY Y")
 def emission_cap(spark, d):
     caps = em.emission_caps(spark, d).filter(F.col("Sc") == "5-LOW")
     return rounded(inputs.emission_cap(caps))
@@ -206,3 +208,30 @@ def scalar_dates(spark, d):
         F.abs(1 - fn.slice_hour("St")).alias("back"),
     )
     return as_text(out, "day", "day9", "stamp", "jan1")
+
+
+@query(
+    "S1 P1 P9 D10",
+    """
+    SELECT lower(l_returnflag) AS Sc, lower(l_linestatus) AS Sv, sum(l_quantity) AS value
+    FROM lineitem GROUP BY ALL""",
+)
+def parameter_table(spark, d):
+    """A long parameter table as the readers give it: index columns as text, the symbol as ``value``."""
+    rows = read_parameter(spark, f"{d}/lineitem.parquet", "l_quantity", ["l_returnflag", "l_linestatus"])
+    named = select_renamed(categories_to_text(rows), {"Sc": "l_returnflag", "Sv": "l_linestatus", "value": "value"})
+    return grouped_sum(map_columns(named, ["Sc", "Sv"], F.lower), ["Sc", "Sv"])
+
+
+@query(
+    "S3",
+    """
+    SELECT 'orders' AS Sc, o_orderstatus AS Sv, round(sum(o_totalprice) / 1e6, 4) AS value
+    FROM orders GROUP BY ALL""",
+)
+def scenario_file(spark, d):
+    """A collection of scenario files read in one scan, the scenario taken from the path."""
+    rows = read_scenarios(spark, d, "o_totalprice", ["o_orderstatus"], ["orders"])
+    exact = rows.withColumn("value", F.col("value").cast("decimal(18,4)"))
+    total = exact.groupBy("Sc", F.col("o_orderstatus").alias("Sv")).agg(F.sum("value").cast("double").alias("value"))
+    return rounded(total, divisor=1e6)

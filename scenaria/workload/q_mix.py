@@ -32,7 +32,7 @@ def mix_of(spark, d):
     return mix.generation_mix(annual_panel_of(spark, d), vocab.ANNUAL, scenario_table(spark, d))
 
 
-@query("T1 S5 F1 P5", "SELECT Scenario, Status, scen_dpol, scen_tpol FROM fx_scen_mat")
+@query("T1 F1 P5", "SELECT Scenario, Status, scen_dpol, scen_tpol FROM fx_scen_mat")
 def scenario_matrix(spark, d):
     return scenario_table(spark, d)
 

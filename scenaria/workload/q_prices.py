@@ -19,7 +19,7 @@ def mcoe_of(spark, d):
     return prices.price_table(em.prices(spark, d), em.demand(spark, d))
 
 
-@query("T39 S3 F11 J7 P11 U1", "SELECT Sc, N, I, T, price, dmd FROM fx_mcoe")
+@query("T39 F11 J7 P11 U1", "SELECT Sc, N, I, T, price, dmd FROM fx_mcoe")
 def price_table(spark, d):
     return mcoe_of(spark, d)
 

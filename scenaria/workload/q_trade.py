@@ -30,7 +30,7 @@ def heat_of(spark, d):
     return trade.corridor_heat(_labelled(signed_of(spark, d)), Y)
 
 
-@query("T22 S3 F2 F9 X2 X12 U1 A1 P12 F10", "SELECT Sc, Sy, St, N0, N1, round(value, 4) AS value FROM fx_signed")
+@query("T22 F2 F9 X2 X12 U1 A1 P12 F10", "SELECT Sc, Sy, St, N0, N1, round(value, 4) AS value FROM fx_signed")
 def canonical_flow(spark, d):
     return rounded(signed_of(spark, d))
 
@@ -106,7 +106,7 @@ def import_export_pairs(spark, d):
     return rounded(trade.import_export_pairs(trade.yearly_trade(signed_of(spark, d)), NAMES), "export", "import")
 
 
-@query("T27 S3 F2 P20 P14 A1", "SELECT Sc, Sr, round(dmd, 4) AS dmd FROM fx_demand")
+@query("T27 F2 P20 P14 A1", "SELECT Sc, Sr, round(dmd, 4) AS dmd FROM fx_demand")
 def demand_equivalent(spark, d):
     return rounded(trade.electricity_demand(em.demand(spark, d)), "dmd")
 
