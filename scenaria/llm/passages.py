@@ -213,17 +213,19 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     occur more than once in all of them; documents without any are left out."""
     ship(docs.sparkSession)
     found = materialize(_segment_rows(docs, window, anchor), "segments")
-    often = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    # Counts are written before they are joined: with a plain table on either side Spark can split
+    # the rows of a hot anchor over tasks.
+    often = materialize(found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "often")
     common = materialize(found.join(often, "anchor", "left_semi"), "common")
     kinds = common.groupBy("anchor", "seg").agg(
         F.count("*").alias("times"), F.min(F.struct("row", "first")).alias("at"), F.max("count").alias("count")
     )
     kinds = materialize(kinds, "kinds")
-    shards = kinds.groupBy("anchor").agg(F.count("*").alias("n"))
-    open_kinds = kinds.filter("times = 1").join(shards.filter("n > 1"), "anchor", "left_semi")
-    # Kinds that occur twice as a whole are repeated throughout; they are in the shard only as a
+    # Kinds that occur twice as a whole are repeated throughout; they are in a shard only as a
     # reference for those that occur once.
-    needed = kinds.join(open_kinds.select("anchor").distinct(), "anchor", "left_semi").join(shards, "anchor")
+    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("times").alias("least"))
+    shards = materialize(sizes.filter("n > 1 and least = 1").drop("least"), "shards")
+    needed = kinds.join(shards, "anchor")
     wanted = needed.select("at.row", "at.first", "count", "anchor", "seg", "times", (F.col("n") > SHARD).alias("hot"))
     fetched = materialize(_fetched(docs, wanted, window, anchor), "fetched")
 
