@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scenaria import vocab
+from scenaria.operators import as_category, attach_dimension
 from scenaria.plans import capacity
 from scenaria.workload import emulate as em
 from scenaria.workload import oracle as o
@@ -33,6 +34,29 @@ def corridor_capacity(spark, d):
     return rounded(corridors_of(spark, d))
 
 
+@query(
+    "T12 P15 O3",
+    f"""
+    SELECT Sc, Sv, Y5, round(value, 4) AS value, {SCOPE} AS Flag,
+           CAST(list_position([{', '.join(o.lit(c) for c in vocab.CORRIDOR_ORDER)}], Sv) AS INTEGER) AS ord
+    FROM fx_corridor""",
+)
+def corridor_display_order(spark, d):
+    return rounded(as_category(corridors_of(spark, d), "Sv", vocab.CORRIDOR_ORDER, ord_col="ord"))
+
+
+@query(
+    "T17 P17 D1 J1",
+    f"""
+    SELECT Sc, Sr, Sv, Sy, value, {o.lookup('Sv', {v.Variable: v.Legend for v in vocab.CAPACITY})} AS legend,
+           {o.lookup('Sv', {v.Variable: v.Color for v in vocab.CAPACITY})} AS color,
+           CAST(list_position([{', '.join(o.lit(v.Variable) for v in vocab.CAPACITY)}], Sv) AS INTEGER) AS ord
+    FROM fx_gen_cap""",
+)
+def generator_capacity_legend(spark, d):
+    return attach_dimension(capacity.generator_capacity(em.gen_capacity(spark, d)), vocab.CAPACITY, "Sv")
+
+
 @query(
     "T12 P21 P22",
     f"""

@@ -6,7 +6,9 @@ beyond their last digit, so that no value lies on a rounding boundary.
 
 from __future__ import annotations
 
+from scenaria import vocab
 from scenaria.functions import recode
+from scenaria.operators import attach_dimension
 from scenaria.plans import costs
 from scenaria.workload import emulate as em
 from scenaria.workload import oracle as o
@@ -129,6 +131,25 @@ def cost_pct_gdp(spark, d):
     return rounded(rounded(out, digits=6), "GDP", divisor=M)
 
 
+_SHOWN_CLASS = {v.Variable: v for v in vocab.COST_COLLAPSED}
+
+
+@query(
+    "T47 P15 P17 D1 J1",
+    f"""
+    WITH c AS (SELECT n.Sc, {_CLASS} AS Sv, n.Sr2, round(100.0 * n.value / nullif(g.GDP, 0), 6) AS value, round(g.GDP / 1e6, 4) AS "GDP"
+               FROM fx_npv_total n LEFT JOIN fx_gdp_all g ON g.Sr2 = n.Sr2)
+    SELECT c.*, {o.lookup('Sv', {k: v.Legend for k, v in _SHOWN_CLASS.items()})} AS legend,
+           {o.lookup('Sv', {k: v.Color for k, v in _SHOWN_CLASS.items()})} AS color,
+           CAST(list_position([{', '.join(o.lit(k) for k in _SHOWN_CLASS)}], Sv) AS INTEGER) AS ord
+    FROM c""",
+)
+def cost_pct_gdp_legend(spark, d):
+    """The collapsed cost classes with legend, colour and display order."""
+    out = costs.cost_pct_gdp(costs.cost_with_total(npv_of(spark, d)), gdp_of(spark, d))
+    return attach_dimension(rounded(rounded(out, digits=6), "GDP", divisor=M), vocab.COST_COLLAPSED, "Sv")
+
+
 _HEAD = """
     WITH t AS (SELECT Sc, sum(value) AS value FROM fx_npv_total WHERE Sr2 = 'Total' GROUP BY Sc),
     h AS (SELECT t.Sc, 'Total' AS Sr2, t.value, g.GDP FROM t LEFT JOIN fx_gdp_all g ON g.Sr2 = 'Total')"""
