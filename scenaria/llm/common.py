@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,18 @@ def star_edges(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return member, label[member]
 
 
+def parts(batch: pa.RecordBatch, column: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``at_once`` bytes of text (whole texts; a longer one alone), so that
+    what is computed from a part stays small. Unused memory goes back after each part."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    part = np.cumsum(size) // at_once
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of every text (runs without ASCII white space; null: none).
 

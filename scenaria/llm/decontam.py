@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from scenaria.llm.common import mix64, ship, split_words, table
+from scenaria.llm.common import mix64, parts, ship, split_words, table
 
 SIMILARITY, SEED_WORDS = 0.8, 3
 #: Walks and places sampled of each: two places agree with probability p**2 in a walk; at p = 0.5
@@ -32,7 +32,7 @@ SIMILARITY, SEED_WORDS = 0.8, 3
 WALKS, PLACES = 32, 2
 #: Bytes of item text in one index. More items are searched in several blocks, one after another.
 BLOCK_BYTES = 8 << 20
-AT_ONCE = 16 << 20
+AT_ONCE = 8 << 20
 _STRIP = ".,;:!?|*#$%&()[]{}<>\"'`~_-+=/\\"
 _BITMAP = 22
 
@@ -182,15 +182,6 @@ def fewest_edits(item: np.ndarray, region: np.ndarray) -> int:
     return int(row.min())
 
 
-def _parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about AT_ONCE bytes of text (whole texts)."""
-    size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64)
-    part = np.cumsum(size) // AT_ONCE
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        yield b.slice(lo, hi - lo)
-
-
 def indexes(items: DataFrame, item_col: str, item_text: str) -> Iterator[Broadcast]:
     """The items as broadcast indexes of about BLOCK_BYTES of text each, whatever the benchmark holds."""
     sc = items.sparkSession.sparkContext
@@ -210,7 +201,7 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
             for b in batches:
-                for some in _parts(b, b.num_columns - 1):
+                for some in parts(b, b.num_columns - 1, AT_ONCE):
                     hit = np.zeros(some.num_rows, bool)
                     hit[[m[0] for m in own.matches(*plain_words(some.columns[-1]))]] = True
                     yield some.filter(pa.array(~hit)).select(range(b.num_columns - 1))
@@ -239,7 +230,7 @@ def find_items(
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
             for b in batches:
-                for some in _parts(b, 1):
+                for some in parts(b, 1, AT_ONCE):
                     hits = own.matches(*plain_words(some.column(1)))
                     doc, item, start, edits = (list(x) for x in zip(*hits)) if hits else ([], [], [], [])
                     yield pa.RecordBatch.from_arrays(

@@ -27,12 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import Rolling, materialize, mix64, ship, split_words, table
+from scenaria.llm.common import Rolling, materialize, mix64, parts, ship, split_words, table
 
 WINDOW, ANCHOR = 35, 12
 #: Different segments of one anchor that go into one automaton.
@@ -40,16 +39,6 @@ SHARD = 256
 AT_ONCE = 8 << 20
 
 
-def _parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about AT_ONCE bytes of text (whole texts)."""
-    size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64)
-    part = np.cumsum(size) // AT_ONCE
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        if hi > lo:
-            yield b.slice(lo, hi - lo)
-
-
 def _numbers(vocab: pa.Array) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, vocab.to_pylist()), np.uint64, len(vocab))
 
@@ -83,7 +72,7 @@ def _segment_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = Segments(window, anchor)
         for b in batches:
-            for part in _parts(b, 1):
+            for part in parts(b, 1, AT_ONCE):
                 bounds, codes, vocab = split_words(part.column(1))
                 number = _numbers(vocab)[codes]
                 found = [segments.cut(number[lo:hi])[:4] for lo, hi in zip(bounds[:-1], bounds[1:])]
@@ -178,7 +167,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, window: int, anchor: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for b in batches:
-            for part in _parts(b, 0):
+            for part in parts(b, 0, AT_ONCE):
                 bounds, codes, vocab = split_words(part.column(0))
                 number, words, out = _numbers(vocab), vocab.to_pylist(), []
                 for lo, hi, want in zip(bounds[:-1], bounds[1:], part.column(1).to_pylist()):
@@ -278,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _parts(b, 1):
+            for part in parts(b, 1, AT_ONCE):
                 bounds, codes, vocab = split_words(part.column(1))
                 words, lists = vocab.to_pylist(), part.column(2)
                 n, removed, kept = [], [], []

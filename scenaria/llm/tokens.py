@@ -17,10 +17,10 @@ import regex
 from scenaria.llm.common import split_words
 
 VOCAB = "word_bpe_49k.json"
-#: Words kept by a worker; beyond it, the memory starts anew.
-KEPT = 600_000
+#: Words kept by a worker; beyond it, the memory starts anew (that of their parts a little later).
+KEPT = 300_000
 #: Bytes of text that are encoded at once (whole texts; one that is longer alone).
-AT_ONCE = 6 << 20
+AT_ONCE = 4 << 20
 
 
 def vocab_path(name: str = VOCAB) -> str:
@@ -49,17 +49,21 @@ class Encoder:
         self.plain = regex.compile("[!-;=-~ß-öø-ÿÀ-ÖØ-Þ]*").fullmatch
         self.as_bytes = _byte_letters()
         self.ints = list(range(self.tokenizer.get_vocab_size()))  # one object for each id, however often kept
+        self.piece: dict[str, tuple[int, ...]] = {}
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.piece: dict[str, tuple[int, ...]] = {}
+        if len(self.piece) > KEPT:
+            self.piece = {}
         self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
     def _piece(self, part: str) -> tuple[int, ...]:
         """Ids of a part of a plain word."""
         got = self.piece.get(part)
         if got is None:
+            if len(self.piece) > 2 * KEPT:  # one batch of odd texts only
+                self.piece = {}
             raw = part if part.isascii() else part.encode().decode("latin-1").translate(self.as_bytes)
             ints = self.ints
             got = self.piece[part] = tuple([ints[t.id] for t in self.model.tokenize(raw)])
@@ -95,6 +99,7 @@ class Encoder:
         part = np.cumsum(size) // AT_ONCE
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
         done = [self._encode(texts.slice(a, b - a), end_id) for a, b in zip(cuts[:-1], cuts[1:])]
+        pa.default_memory_pool().release_unused()
         before = np.cumsum([0, *(len(ids) for ids, _ in done)])
         bounds = [b[:-1] + k for (_, b), k in zip(done, before)]
         return np.concatenate([ids for ids, _ in done]), np.concatenate([*bounds, before[-1:]])

@@ -14,12 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenaria.llm.common import mix64, ship, split_words, table
+from scenaria.llm.common import mix64, parts, ship, split_words, table
 
 #: N-gram lengths, embedding rows and width.
 GRAMS, ROWS, DIM = (4, 5, 6), 1 << 20, 16
@@ -37,7 +36,7 @@ VISITS, EPOCHS, PARTS, RATE, DECAY, SEED = 80_000, 200, 8, 0.2, 1e-5, 7
 #: A document is rejected from this score on.
 REJECT = 0.7
 #: Bytes of text that are scored at once (whole texts).
-AT_ONCE = 8 << 20
+AT_ONCE = 2 << 20
 _STRIP = ".,;:!?|*#$%&()[]{}<>\"'`~_-+=/\\"
 
 
@@ -183,12 +182,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for b in batches:
-            text = b.columns[-1]
-            size = np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64)
-            part = np.cumsum(size) // AT_ONCE
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                some = b.slice(lo, hi - lo)
+            for some in parts(b, b.num_columns - 1, AT_ONCE):
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(own.score(some.columns[-1]))], names)
 
     return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
