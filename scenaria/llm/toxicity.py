@@ -27,7 +27,7 @@ PRIOR = 150
 #: Rows that fewer labelled texts than this touch keep a zero embedding.
 TEXTS = 8
 #: Labelled rows that are learned from, at most: of class 1 and of class 0, with the smallest hash of
-#: the id. The model is fitted on the driver, so this bounds what comes there.
+#: the id. The model is fitted in one task, so this bounds what comes there.
 SAMPLE = {1: 500, 0: 1500}
 #: Share of class 1 in the weight of the training texts, whatever its share in their number.
 SHARE = 0.3
@@ -166,9 +166,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label, n in SAMPLE.items():
         some = marked.filter(F.col("label") == label).orderBy(order, "id").limit(n)
         ids = some if ids is None else ids.union(some)
-    # At most the sum of SAMPLE rows, hence the broadcast.
-    found = rows.join(F.broadcast(ids), "id").orderBy(order, "id", "label").collect()
-    return fit([r["text"] for r in found], np.array([r["label"] for r in found]))
+    # At most the sum of SAMPLE rows, hence the broadcast, and one task that learns from them.
+    found = rows.join(F.broadcast(ids), "id").repartition(1).sortWithinPartitions(order, "id", "label")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            marks += b.column(1).to_pylist()
+        model = fit(texts, np.array(marks))
+        yield pa.RecordBatch.from_arrays([pa.array([model.row_logit.tobytes()]), pa.array([model.bias])], ["row_logit", "bias"])
+
+    ship(docs.sparkSession)
+    got = found.select("text", "label").mapInArrow(learn, "row_logit binary, bias double").first()
+    return fit([], np.zeros(0)) if got is None else Model(np.frombuffer(got["row_logit"], np.float32), got["bias"])
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
