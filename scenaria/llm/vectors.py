@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Each vector is described by its PREFIX nearest pivots (a bounded sample of the vectors), in
-order. Inverted lists lead from a pivot to the vectors that have it in their prefix; two vectors of
+Each vector is described by its PREFIX nearest pivots (a bounded sample of the vectors, thinned so
+that no two are close: else a large group of near copies owns many of them, and the nearest ones of
+two of its vectors hardly overlap), in order. Inverted lists lead from a pivot to the vectors that have it in their prefix; two vectors of
 a list that share enough pivots are candidates, and their cosine is computed in double precision.
 """
 
@@ -22,6 +23,8 @@ PREFIX, SHARED = 8, 2
 #: One pivot for so many distinct vectors, within bounds; the pivots are broadcast, so the upper
 #: bound limits what is sent (8 MB at 64 numbers each). An inverted list then has some 512 vectors.
 VECTORS_A_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 64, 16, 16384
+#: No two pivots have a cosine of APART or more; DRAWN vectors are looked at for each pivot wanted.
+APART, DRAWN = 0.8, 4
 #: Vectors of one list that are compared in one task; longer lists are cut into pairs of blocks.
 BLOCK = 1024
 
@@ -35,9 +38,27 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def _thinned(drawn: np.ndarray, most: int) -> np.ndarray:
+    """Unit vectors of the first ``most`` rows that have a cosine below APART to all taken before."""
+    unit = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
+    kept = unit[:0]
+    for at in range(0, len(unit), 256):
+        some = unit[at : at + 256]
+        some = some[~(some @ kept.T >= APART).any(axis=1)]
+        close = some @ some.T >= APART
+        free = np.ones(len(some), bool)
+        for k in range(len(some)):
+            if free[k]:
+                free[k + 1 :] &= ~close[k, k + 1 :]
+        kept = np.concatenate([kept, some[free]])
+        if len(kept) >= most:
+            break
+    return kept[:most]
+
+
 def _described(nodes: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
     """Add ``prefix``: the numbers of the nearest pivots, nearest first."""
-    shared = nodes.sparkSession.sparkContext.broadcast(pivots / np.linalg.norm(pivots, axis=1, keepdims=True))
+    shared = nodes.sparkSession.sparkContext.broadcast(pivots)
     kept = min(PREFIX, len(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +133,11 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     total, dim = nodes.agg(F.count("*"), F.max(F.size("vec"))).first()
     counted = None
     if total:
-        # A bounded sample, by hash: at most MOST_PIVOTS vectors come to the driver.
-        some = nodes.orderBy(F.xxhash64("vec"), "node").limit(max(LEAST_PIVOTS, min(MOST_PIVOTS, total // VECTORS_A_PIVOT)))
-        pivots = np.zeros((0, dim))
+        # A bounded sample, by hash: at most DRAWN * MOST_PIVOTS vectors come to the driver.
+        most = max(LEAST_PIVOTS, min(MOST_PIVOTS, total // VECTORS_A_PIVOT))
+        some = nodes.orderBy(F.xxhash64("vec"), "node").limit(DRAWN * most)
         pivots = np.array([r["vec"] + [0.0] * (dim - len(r["vec"])) for r in some.select("vec").collect()]).reshape(-1, dim)
+        pivots = _thinned(pivots, most)
         least = min(SHARED, len(pivots))
         described = _described(nodes.select("node", "n", "vec"), pivots, dim)
         lists = described.withColumn("pivot", F.explode("prefix"))

@@ -58,6 +58,20 @@ def test_recall_and_exactness(spark, monkeypatch, noise, block):
         assert all((got[k].component_id, got[k].kept) == want[k][2:] for k in got) or found < there
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.2])
+def test_recall_in_a_large_group(spark, noise):
+    """A third of 20,001 different vectors are near copies of one."""
+    x = np.array([v for _, v in noisy(np.random.default_rng(5), [6667], 64, noise)] + np.random.default_rng(6).normal(size=(13334, 64)).tolist())
+    unit = x[:6667] / np.linalg.norm(x[:6667], axis=1, keepdims=True)
+    want = (unit @ unit.T >= vectors.COSINE).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = np.zeros(len(x), np.int64)
+    for r in vectors.similar_vectors(df).collect():
+        got[r.vec_id] = r.n_links
+    assert (got[:6667] <= want).all() and not got[6667:].any()
+    assert got.sum() >= 0.99 * want.sum()
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0])]
