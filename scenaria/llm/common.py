@@ -57,6 +57,14 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node reachable.
 
@@ -88,19 +96,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def blocked(rows: DataFrame, key: str, ident: list[str], size: int, label: str | None = None) -> DataFrame:
+def blocked(rows: DataFrame, key: str, ident: list[str], size: int) -> DataFrame:
     """Cut the groups of ``key`` into pairs of blocks.
 
     Groups of one row go (nothing to compare). A group of n rows has ceil(n / size) blocks;
     a row of block b goes to every pair (b, j), as columns ``blk_lo``, ``blk_hi``, with its own
     block in ``blk``. Two rows of a key meet in exactly one pair: that of their blocks, or
-    (b, b). A pair holds about 2 * size rows however large the group is. With ``label``, groups
-    whose rows have one label in common go too, and the group's size stays as ``blk_n``.
+    (b, b). A pair holds about 2 * size rows however large the group is.
     """
-    ends = [F.min(label).alias("l0"), F.max(label).alias("l1")] if label else []
-    n = rows.groupBy(key).agg(F.count("*").alias("blk_n"), *ends).filter("blk_n > 1")
-    if label:
-        n = n.filter("l0 <> l1").drop("l0", "l1")
+    n = rows.groupBy(key).agg(F.count("*").alias("blk_n")).filter("blk_n > 1")
     blocks = F.ceil(F.col("blk_n") / F.lit(size)).cast("int")
     return (
         rows.join(n, key)
@@ -109,7 +113,7 @@ def blocked(rows: DataFrame, key: str, ident: list[str], size: int, label: str |
         .withColumn("blk_j", F.explode(F.sequence(F.lit(0), F.col("blk_c") - 1)))
         .withColumn("blk_lo", F.least("blk", "blk_j"))
         .withColumn("blk_hi", F.greatest("blk", "blk_j"))
-        .drop(*([] if label else ["blk_n"]), "blk_c", "blk_j")
+        .drop("blk_n", "blk_c", "blk_j")
     )
 
 

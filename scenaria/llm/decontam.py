@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from scenaria.llm.common import mix64, parts, ship, split_words, table
+from scenaria.llm.common import free_name, mix64, parts, ship, split_words, table
 
 SIMILARITY, SEED_WORDS = 0.8, 3
 #: Walks and places sampled of each: two places agree with probability p**2 in a walk; at p = 0.5
@@ -206,7 +206,7 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                     hit[[m[0] for m in own.matches(*plain_words(some.columns[-1]))]] = True
                     yield some.filter(pa.array(~hit)).select(range(b.num_columns - 1))
 
-        docs = docs.withColumn("__searched", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+        docs = docs.withColumn(free_name(docs, "__searched"), F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
     return docs
 
 

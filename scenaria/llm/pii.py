@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import table
+from scenaria.llm.common import free_name, table
 
 #: Kinds in their order. The patterns match what their plain forms match (leftmost, greedy, not
 #: overlapping), written without backtracking: possessive, and each run tried from its start only.
@@ -127,12 +127,12 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataF
 
     A span has s and e (code points, end exclusive), kind, text and score (0 to 1). Base kinds
     (email, ip, card, phone) are always returned when their check holds; iban needs mod 97, ssn
-    a context word. A null or empty text has no spans. All other columns and all rows stay as
-    they are; column names of the operator's own are prefixed and dropped again.
+    a context word. A null or empty text has no spans. All rows and all other columns stay as
+    they are, whatever their names; only a column named ``out`` is replaced.
     """
-    keep = docs.columns
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.withColumn("__text", text)
+    # the user's columns travel under numbers, so that none can clash with the operator's own
+    given = [c for c in docs.columns if c.lower() != out.lower()]
+    df = docs.select(*[F.col(c).alias(f"__given_{i}") for i, c in enumerate(given)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     matches = {}
     for kind, pattern in KINDS.items():
         found = F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))
@@ -145,7 +145,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataF
     )
     df = df.withColumns({f"__n_{k}": F.slice(f"__p_{k}", F.lit(2), F.size(f"__p_{k}")) for k in KINDS})
     spans = F.array_sort(F.concat(*[_located(k) for k in KINDS]))
-    return df.select(*[F.col(c) for c in keep], spans.alias(out))
+    return df.select(*[F.col(f"__given_{i}").alias(c) for i, c in enumerate(given)], spans.alias(out))
 
 
 def listed(spans: Column) -> Column:
@@ -155,8 +155,9 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by its kind in brackets; overlapping
-    spans become one, named after the first. Null texts stay null."""
-    found = find_pii(docs, text_col, "__pii")
+    spans become one, named after the first. Null texts stay null; columns of any name stay as they are."""
+    spans = free_name(docs, "__pii")
+    found = find_pii(docs, text_col, spans)
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substr(F.col(text_col), acc["at"] + 1, x["s"] - acc["at"])
@@ -166,7 +167,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col(text_col), acc["at"] + 1))
-    clean = F.when(F.size("__pii") > 0, F.aggregate("__pii", zero, step, rest)).otherwise(F.col(text_col))
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(F.col(text_col))
     return found.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenaria.llm.common import mix64, parts, ship, split_words, table
+from scenaria.llm.common import free_name, mix64, parts, ship, split_words, table
 
 #: N-gram lengths, embedding rows and width.
 GRAMS, ROWS, DIM = (4, 5, 6), 1 << 20, 16
@@ -166,8 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label, n in SAMPLE.items():
         some = marked.filter(F.col("label") == label).orderBy(order, "id").limit(n)
         ids = some if ids is None else ids.union(some)
-    # At most the sum of SAMPLE rows, hence the broadcast, and one task that learns from them.
-    found = rows.join(F.broadcast(ids), "id").repartition(1).sortWithinPartitions(order, "id", "label")
+    # At most the sum of SAMPLE ids, hence the broadcast; one text of each, and one task that learns from them.
+    found = rows.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = found.repartition(1).sortWithinPartitions(order, "id", "label")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks = [], []
@@ -184,11 +185,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a column ``out``: the probability of class 1 of every text. Null and empty
-    texts, and those without a known n-gram, get the score of the bias alone. All rows stay."""
+    texts, and those without a known n-gram, get the score of the bias alone. All rows stay, and
+    columns of any name but ``out``, which is replaced."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.row_logit, model.bias))  # 4 MB at any size
-    rows = docs.withColumn("__scored", F.col(text_col).cast("string"))
-    names = [*docs.columns, out]
+    rows = docs.withColumn(free_name(docs, "__scored"), F.col(text_col).cast("string")).drop(out)
+    kept = docs.drop(out)
+    names = [*kept.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -196,7 +199,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str =
             for some in parts(b, b.num_columns - 1, AT_ONCE):
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(own.score(some.columns[-1]))], names)
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
