@@ -1,4 +1,4 @@
-"""The queries of this subpackage; none is expressible in SQL as a whole."""
+"""The queries of this subpackage, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scenaria.llm.decontam import op9_decontamination
 from scenaria.llm.html import op6_main_text
+from scenaria.llm.manifest import SQL as MANIFEST_SQL
+from scenaria.llm.manifest import op11_manifest
 from scenaria.llm.packing import op8_packing
 from scenaria.llm.passages import op3_repeated_passages
 from scenaria.llm.pii import op2_pii
@@ -28,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_manifest": op11_manifest,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_manifest": MANIFEST_SQL}
