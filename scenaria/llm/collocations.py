@@ -109,7 +109,7 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
         sizes = np.array([bytes_of.get(k, 0) for k in range(len(known))])
         return Shard(ids.astype(np.int32), np.concatenate([f for _, f, _ in held]), lang, word, hashes, list(known), sizes, [t for _, t in known.values()])
 
-    for b in (part for batch in batches for part in parts(batch, 2, AT_ONCE)):
+    for b in (part for batch in batches for part in parts(batch, 2, min(AT_ONCE, size))):
         words, fresh, n = words_of(b.column(2))
         for name, total in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             known.setdefault(name, (len(known), total))

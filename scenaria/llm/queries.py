@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scenaria.llm.brown import op12_lm_scores
 from scenaria.llm.collocations import SQL as COLLOCATIONS_SQL
 from scenaria.llm.collocations import op13_collocations
 from scenaria.llm.decontam import op9_decontamination
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
     "op11_manifest": op11_manifest,
+    "op12_lm_scores": op12_lm_scores,
     "op13_collocations": op13_collocations,
 }
 SQL: dict[str, str] = {"op11_manifest": MANIFEST_SQL, "op13_collocations": COLLOCATIONS_SQL}
