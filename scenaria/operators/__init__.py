@@ -28,7 +28,7 @@ from scenaria.operators.flows import (  # noqa: F401
     node_trade,
     reorient,
 )
-from scenaria.operators.joins import code_join, natural_join, role_join, semi_join, union_rows  # noqa: F401
+from scenaria.operators.joins import code_join, natural_join, role_join, semi_join, shared, union_rows  # noqa: F401
 from scenaria.operators.links import split_link  # noqa: F401
 from scenaria.operators.rank import duration_curve, rank_rows  # noqa: F401
 from scenaria.operators.reshape import (  # noqa: F401

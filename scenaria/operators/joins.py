@@ -71,6 +71,16 @@ def code_join(facts: DataFrame, codes: DataFrame, required: Sequence[str]) -> Da
     return natural_join(facts, codes, how).dropna(subset=list(required))
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` unchanged, for tables that several branches of one plan read.
+
+    Spark computes an exchange once if the branches ask for the same one. A filter or a choice of columns
+    above ``df`` would otherwise be pushed down in one branch alone, which then reads its input again. The
+    condition (always true) reads all columns and is not deterministic, so nothing moves below it.
+    """
+    return df.filter(F.rand(0) < F.lit(2) + F.hash(*df.columns) * F.lit(0.0))
+
+
 def union_rows(*dfs: DataFrame) -> DataFrame:
     """Stack by column name; a column missing on one side is NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)

@@ -1,14 +1,14 @@
 """Long/wide reshaping, domain completion and scenario differences.
 
 No operator here pivots on values found in the data and none pairs the rows of
-a group with each other. Completion expands short domain arrays; an observed
-domain (the distinct values of an index column) is read as a scalar subquery
-over the same aggregate, so Spark reuses the aggregate's exchange.
+a group with each other. A domain that is given as a list is unrolled as an array. An
+observed one (the distinct values of an index column), or one that is a table, stays distributed: its values lie
+in a few parts, and every row to be completed goes to each part. Observed domains
+are read from the same exchange as the rows (``shared``).
 
 One rule for all of them: NULL keys are an ordinary group, and two rows for one
-cell are an error unless the caller says how to combine them. The cells of a
-series travel as one array (a series has as many as its domain has steps), so
-completing reads its input once; a grid of extra rows would read it twice.
+cell are an error unless the caller says how to combine them. A series is completed by empty
+rows, one for each of its steps, that join its own rows before one grouped aggregate.
 """
 
 from __future__ import annotations
@@ -20,38 +20,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenaria.functions import strict_sum
-from scenaria.operators.joins import natural_join
+from scenaria.operators.joins import natural_join, shared
 from scenaria.sources.inline import sql_literal
 
 Domain = Sequence[Any] | DataFrame | None
 
-#: Values of an observed domain that may be unrolled as an array.
-MAX_OBSERVED = 100_000
+#: Parts of a domain that is not a list.
+SPREAD = 8
 
 
 def _lits(values: Sequence[Any]) -> Column:
     return F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")")
 
 
-def _observed(df: DataFrame, col: str, with_value: str | None = None) -> Column:
-    """Array of the distinct values of an index column, as a scalar subquery.
-
-    ``with_value`` keeps the measure in the subquery's input so that its plan
-    up to the last exchange is the one of the main query and can be reused.
-    """
-    flag = F.lit(False) if with_value is None else F.col(with_value).isNull()
-    seen = F.collect_set(F.struct(F.col(col).alias("k"), flag.alias("m")))
-    values = F.array_distinct(F.transform(seen, lambda e: e["k"]))
-    long = F.raise_error(F.lit(f"more than {MAX_OBSERVED} values of {col}: give the domain as a table and {col} as the last key"))
-    return df.agg(F.when(F.size(seen) > 2 * MAX_OBSERVED, long).otherwise(values)).scalar()
+def _part(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(SPREAD)).cast("int")
 
 
-def _domain(df: DataFrame, col: str, domain: Domain, value: str | None) -> Column:
-    if domain is None:
-        return _observed(df, col, value)
-    if isinstance(domain, DataFrame):
-        return _observed(domain.toDF(col), col)
-    return _lits(domain)
+def _times(rows: DataFrame, domain: DataFrame, col: str) -> DataFrame:
+    """``rows`` once for each different value of the one-column ``domain``, in column ``col``; NULL is a value like any other."""
+    values = domain.toDF(col).distinct().withColumn("__b", _part(F.col(col)))
+    dealt = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return dealt.join(values, "__b").select(*rows.columns, col)
 
 
 # long <-> wide ---------------------------------------------------------------
@@ -122,7 +112,28 @@ def _cell(key: Column, what: str, combine: str) -> Column:
         return _one_cell(F.size(hits), first, what)
     each = {"sum": lambda v: F.coalesce(v, F.lit(0)), "strict_sum": lambda v: v}[combine]
     rest = F.slice(hits, F.lit(2), F.greatest(F.size(hits) - 1, F.lit(0)))
-    return F.aggregate(rest, each(first), lambda a, c: a + each(c["v"]))
+    return F.when(F.size(hits) > 0, F.aggregate(rest, each(first), lambda a, c: a + each(c["v"])))
+
+
+def _with_empty(df: DataFrame, ids: Sequence[str], along: Sequence[str], grid: DataFrame, value: str, fill: Any, keep_outside: bool, combine: str) -> DataFrame:
+    """The cells of ``df`` and the empty cells of ``grid`` (ids, along) as one table with one row a cell.
+
+    All cells of an id meet in one exchange, which operators along the series then reuse.
+    """
+    what, has = ", ".join(along), F.col("__n") == 1
+    rows = df.select(*ids, *along, F.col(value).alias("__v"), F.lit(1).alias("__n"))
+    empty = grid.select(*ids, *along, F.lit(None).cast(df.schema[value].dataType).alias("__v"), F.lit(0).alias("__n"))
+    both = rows.unionByName(empty)
+    both = both.repartition(*ids) if ids else both
+    n, v = F.sum("__n"), F.col("__v")
+    cell = {
+        "only": lambda: _one_cell(n, F.max(v), what),
+        "sum": lambda: F.when(n > 0, F.coalesce(F.sum(v), F.lit(0))),
+        "strict_sum": lambda: F.when(n == F.count(v), F.sum(v)),
+    }[combine]()
+    cell = cell if fill is None else F.coalesce(cell, F.lit(fill))
+    out = both.groupBy(*ids, *along).agg(cell.alias(value), F.count(F.when(~has, F.lit(1))).alias("__asked"))
+    return (out if keep_outside else out.filter("__asked > 0")).select(*ids, *along, value)
 
 
 def densify(
@@ -137,18 +148,17 @@ def densify(
 ) -> DataFrame:
     """Every id combination gets every value of ``along``, absent ones filled.
 
-    The rows of an id are one per bin, so they travel as a small array and the
-    grid is unrolled from it: one shuffle on the ids, no join. Give ``domain``
-    when the bins are known to save the subquery; rows outside of it stay
-    unless ``keep_outside`` is off.
+    Give ``domain`` as a list when the bins are known to save the join with them; rows outside of it stay
+    unless ``keep_outside`` is off. ``fill`` also replaces values that are NULL already.
     """
-    steps = _domain(df, along, domain, value)
-    if domain is not None:
-        steps = steps.cast(f"array<{df.schema[along].dataType.simpleString()}>")
-        if keep_outside:
-            steps = F.array_union(steps, F.transform("__m", lambda c: c["k"]))
-    grid = _packed(df, ids, F.col(along), value).select(*ids, "__m", F.explode(steps).alias(along))
-    return grid.select(*ids, along, F.coalesce(_cell(F.col(along), along, combine), F.lit(fill)).alias(value))
+    df, kind = shared(df), df.schema[along].dataType
+    series = df.select(*ids).distinct()
+    if domain is None or isinstance(domain, DataFrame):
+        values = df.select(along) if domain is None else domain.toDF(along).select(F.col(along).cast(kind))
+        grid = _times(series, values, along)
+    else:
+        grid = series.withColumn(along, F.explode(_lits(domain).cast(f"array<{kind.simpleString()}>")))
+    return _with_empty(df, ids, [along], grid, value, fill, keep_outside, combine)
 
 
 def complete_series(
@@ -167,39 +177,37 @@ def complete_series(
     replaces values that are NULL already. Rows of the group outside the domain
     are kept unless ``keep_outside`` is off.
     """
+    df = shared(df)
     if isinstance(along, str):
-        key, back = F.col(along), [F.col("__k").alias(along)]
-        grid = domain if isinstance(domain, Column) else _lits(domain)
-        grid = grid.cast(f"array<{df.schema[along].dataType.simpleString()}>")
+        steps = (domain if isinstance(domain, Column) else _lits(domain)).cast(f"array<{df.schema[along].dataType.simpleString()}>")
+        along, back = [along], [F.col("__k").alias(along)]
     else:
-        key, back = F.struct(*along), [F.col(f"__k.{c}").alias(c) for c in along]
         typed = [[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(along, step)] for step in domain]
-        grid = F.array(*[F.struct(*step) for step in typed])
-    steps = F.array_union(grid, F.transform("__m", lambda c: c["k"])) if keep_outside else grid
-    rows = _packed(df, group, key, value).select(*group, "__m", F.explode(steps).alias("__k"))
-    cell = _cell(F.col("__k"), str(along), combine)
-    return rows.select(*group, *back, (cell if fill is None else F.coalesce(cell, F.lit(fill))).alias(value))
+        steps, back = F.array(*[F.struct(*step) for step in typed]), [F.col(f"__k.{c}").alias(c) for c in along]
+    grid = df.select(*group).distinct().withColumn("__k", F.explode(steps)).select(*group, *back)
+    return _with_empty(df, group, along, grid, value, fill, keep_outside, combine)
 
 
-def _grid(df: DataFrame, keys: Sequence[str], domains: Mapping[str, Domain], value: str | None) -> DataFrame:
-    """The product of the key domains.
+def _grid(df: DataFrame, keys: Sequence[str], domains: Mapping[str, Domain]) -> DataFrame:
+    """The product of the key domains; ``df`` is a table whose branches share an exchange.
 
-    The last key (normally the time slice) has the long domain: it stays a
-    distributed set of rows, and the short domains of the other keys are
-    unrolled onto it as arrays.
+    The rows of the last key's domain (normally the time slices) come first; each further key
+    unrolls its values onto them.
     """
-    last, domain = keys[-1], domains.get(keys[-1])
-    if isinstance(domain, DataFrame):
-        grid = domain.toDF(last).distinct()
-    elif domain is not None:
-        grid = df.sparkSession.range(1).select(F.explode(_lits(domain)).alias(last)).repartition(last)
-    elif value is None:
-        grid = df.select(last).distinct()
-    else:
-        # reading the measure keeps this plan equal to the main one, for reuse
-        grid = df.groupBy(last).agg(F.count(value).alias("__n")).filter(F.col("__n") >= 0).select(last)
+
+    def distinct(k: str) -> DataFrame | None:
+        domain = domains.get(k)
+        if domain is None:
+            return df.select(k).distinct()
+        return domain.toDF(k).distinct() if isinstance(domain, DataFrame) else None
+
+    last = keys[-1]
+    grid = distinct(last)
+    if grid is None:
+        grid = df.sparkSession.range(1).select(F.explode(_lits(domains[last])).alias(last)).repartition(last)
     for k in keys[:-1]:
-        grid = grid.select("*", F.explode(_domain(df, k, domains.get(k), value)).alias(k))
+        values = distinct(k)
+        grid = grid.select("*", F.explode(_lits(domains[k])).alias(k)) if values is None else _times(grid, values, k)
     return grid
 
 
@@ -214,7 +222,8 @@ def complete(
     Domains default to the observed values. Existing rows outside a given
     domain are kept, and ``fill`` applies to values that were NULL before, too.
     """
-    grid = _grid(df, keys, domains or {}, None)
+    df = shared(df)
+    grid = _grid(df, keys, domains or {})
     out = natural_join(grid, df, "full", on=list(keys))
     cols = [F.coalesce(F.col(c), F.lit((fill or {})[c])).alias(c) if c in (fill or {}) else F.col(c) for c in df.columns]
     return out.select(*cols)
@@ -231,10 +240,10 @@ def complete_sum(
     The grid joins in as zero rows before the sum, so completion costs no
     join: facts and grid share the one shuffle of the aggregation.
     """
-    # NULL stays NULL up to the last step: were it replaced here, the domain branches would lose
-    # ``value`` and with it the exchange that they share with the facts.
-    facts = df.groupBy(*keys).agg(strict_sum(value).alias(value))
-    grid = _grid(facts, keys, domains or {}, value).select(*keys, F.lit(0.0).alias(value))
+    # The domains need all rows, the facts only those that a view keeps: filters stop here, so that
+    # both read the same exchange.
+    facts = shared(df.groupBy(*keys).agg(strict_sum(value).alias(value)))
+    grid = _grid(facts, keys, domains or {}).select(*keys, F.lit(0.0).alias(value))
     return facts.unionByName(grid).groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(value))
 
 
@@ -258,10 +267,13 @@ def delta_vs_baseline(
     outside of it stay unless ``keep_outside`` is off. The scenarios of one key
     travel as a small array, as in :func:`densify`.
     """
-    steps = _domain(df, scenario, scenarios, value)
-    if scenarios is not None and keep_outside:
-        steps = F.array_union(steps, F.transform("__m", lambda c: c["k"]))
-    rows = _packed(df, keys, F.col(scenario), value).select(*keys, "__m", F.explode(steps).alias(scenario))
+    df = shared(df)
+    packed, own = _packed(df, keys, F.col(scenario), value), F.transform("__m", lambda c: c["k"])
+    if scenarios is None:
+        rows = _times(packed, df.select(scenario), scenario)
+    else:
+        steps = _lits(scenarios).cast(f"array<{df.schema[scenario].dataType.simpleString()}>")
+        rows = packed.withColumn(scenario, F.explode(F.array_union(steps, own) if keep_outside else steps))
     if drop_baseline:
         rows = rows.filter(~F.col(scenario).eqNullSafe(F.lit(baseline)))
     cell = F.coalesce(_cell(F.col(scenario), scenario, combine), F.lit(0.0))

@@ -10,5 +10,6 @@ from scenaria.sources.tables import (  # noqa: F401
     read_scenario_matrix,
     read_scenarios,
     read_set,
+    read_scenario_tree,
     read_yearly_files,
 )

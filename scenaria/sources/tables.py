@@ -72,6 +72,30 @@ def read_scenarios(
     return out.withColumnRenamed(symbol, "value")
 
 
+def read_scenario_tree(
+    spark: SparkSession,
+    root: str,
+    symbol: str,
+    index: Sequence[str],
+    matrix: DataFrame | None = None,
+    years: Sequence[int] | None = None,
+    fmt: str = "parquet",
+    scenario: str = "Scenario",
+) -> DataFrame:
+    """``root/Sc=<Sc>/Sy=<year>/``: all scenarios and years of a symbol in one scan.
+
+    Scenario and year are partition columns. ``years`` selects folders while the plan is built. ``matrix`` keeps
+    the scenarios of its column ``scenario``; what that table holds is known when the plan runs only, so Spark then
+    prunes the folders by it: rows of other scenarios are not read and thrown away, their files are not opened.
+    """
+    out = _read(spark, root, _schema(index, symbol) + ", `Sc` string, `Sy` int", fmt)
+    if years is not None:
+        out = out.filter(F.col("Sy").isin(list(years)))
+    if matrix is not None:
+        out = out.join(matrix.select(F.col(scenario).alias("Sc")), "Sc", "left_semi")
+    return out.select("Sc", "Sy", *index, F.col(symbol).alias("value"))
+
+
 def read_yearly_files(
     spark: SparkSession,
     root: str,

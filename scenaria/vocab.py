@@ -15,195 +15,136 @@ class Variable(NamedTuple):
     Color: str
 
 
-def _variables(text: str) -> list[Variable]:
-    lines = [ln for ln in text.strip().splitlines() if ln.strip()]
-    return [Variable(*(cell.strip() for cell in ln.split("|"))) for ln in lines]
-
-
-def _pairs(text: str) -> dict[str, str]:
-    return {k.strip(): v.strip() for k, v in (ln.split("|") for ln in text.strip().splitlines())}
-
-
-# Variables in display order (variable | legend | colour) ------
-
-HOURLY = _variables("""
-Fin_Ene_Ele | demand | #003C67FF
-Sec_Ene_Ele_Sto_Cha_Gro_LiB | battery charge | #23e893
-Sec_Ene_Ele_Sto_Cha_Gro_PHS | PHS charge | #9afcc9
-Sec_Ene_Ele_Nuc | nuclear | #FF9626FF
-Sec_Ene_Ele_Hyd | hydro | #29dde3FF
-Sec_Ene_Ele_Geo | geothermal | #B74F3AFF
-Sec_Ene_Ele_Coa_wo_CCS | coal w/o CCS | #4A4F54FF
-Sec_Ene_Ele_Coa_w_CCS | coal w/ CCS | #8A9197FF
-Sec_Ene_Ele_Bio_wo_CCS | biomass w/o CCS | #617f00FF
-Sec_Ene_Ele_Bio_w_CCS | biomass w/ CCS | #a7bf5eFF
-Sec_Ene_Ele_Gas_wo_CCS | gas w/o CCS | #8c845b
-Sec_Ene_Ele_Gas_w_CCS | gas w/ CCS | #c2ac69FF
-Sec_Ene_Ele_Oil | oil w/o CCS | #8C655DFF
-Sec_Ene_Ele_Sto_Dis_LiB | battery discharge | #23e893
-Sec_Ene_Ele_Sto_Dis_PHS | PHS discharge | #9afcc9
-Sec_Ene_Ele_Own_Use_Ene_Sup_Hyd | electrolysis | orchid
-Sec_Ene_Ele_Cur | curtailment | #F6CCFFFF
-Sec_Ene_Ele_inc_Cur_Win_Off | offshore wind | #699bffFF
-Sec_Ene_Ele_inc_Cur_Win_Ons | onshore wind | #145db8
-Sec_Ene_Ele_inc_Cur_Solar_Dec | solar rooftop | #FFEE75FF
-Sec_Ene_Ele_inc_Cur_Solar_Cen | solar utility | #FEC906FF
-Sec_Ene_Ele_H2_FC | fuel cell | orchid
-Sec_Ene_Ele_H2_GT | hydrogen gas turbine | orchid
-Trd_Sec_Ene_Ele | trade | #a3e0ffFF
-""")
-
-HOURLY_BY_FUEL = _variables("""
-Fin_Ene_Ele | demand | #003C67FF
-Sec_Ene_Ele_Sto_Cha_Gro_LiB | battery charge | #23e893
-Sec_Ene_Ele_Sto_Cha_Gro_PHS | PHS charge | #9afcc9
-Sec_Ene_Ele_Nuc | nuclear | #FF9626FF
-Sec_Ene_Ele_Hyd | hydro | #29dde3FF
-Sec_Ene_Ele_Geo | geothermal | #B74F3AFF
-Sec_Ene_Ele_Coa | coal | #4A4F54FF
-Sec_Ene_Ele_Bio | biomass | #AFDD66FF
-Sec_Ene_Ele_Gas | natural gas | #A99F6DFF
-Sec_Ene_Ele_Oil | oil | #8C655DFF
-Sec_Ene_Ele_Sto_Dis_LiB | battery storage | #23e893
-Sec_Ene_Ele_Sto_Dis_PHS | pumped hydro storage | #9afcc9
-Sec_Ene_Ele_Own_Use_Ene_Sup_Hyd | electrolysis | orchid
-Sec_Ene_Ele_Cur | curtailment | #F6CCFFFF
-Sec_Ene_Ele_inc_Cur_Win | wind | #145db8
-Sec_Ene_Ele_inc_Cur_Solar | solar | #FEC906FF
-Sec_Ene_Ele_H2_FC | fuel cell | orchid
-Sec_Ene_Ele_H2_GT | hydrogen gas turbine | orchid
-Trd_Sec_Ene_Ele | trade | #a3e0ffFF
-""")
-
-HOURLY_BY_ROLE = _variables("""
-Charge | Charge | #23e893
-Other | Other | grey50
-Discharge | Discharge | #23e893
-Curtailment | Curtailment | #F6CCFFFF
-Wind | Wind | #145db8
-Solar | Solar | #FEC906FF
-Transmission | Transmission | #a3e0ffFF
-""")
-
-ANNUAL = _variables("""
-Sec_Ene_Ele_Trd_Los | transmission loss | #a3e0ffFF
-Sec_Ene_Ele_Cur | curtailment | #F6CCFFFF
-Sec_Ene_Ele_Sto_Los | storage loss | #23e893
-Sec_Ene_Ele_Coa_wo_CCS | coal w/o CCS | #4A4F54FF
-Sec_Ene_Ele_Coa_w_CCS | coal w/ CCS | #8A9197FF
-Sec_Ene_Ele_Oil | oil w/o CCS | #8C655DFF
-Sec_Ene_Ele_Gas_wo_CCS | gas w/o CCS | #8c845b
-Sec_Ene_Ele_Gas_w_CCS | gas w/ CCS | #c2ac69FF
-Sec_Ene_Ele_Nuc | nuclear | #FF9626FF
-Sec_Ene_Ele_Hyd | hydro | #29dde3FF
-Sec_Ene_Ele_Geo | geothermal | #B74F3AFF
-Sec_Ene_Ele_Bio_wo_CCS | biomass w/o CCS | #617f00FF
-Sec_Ene_Ele_Bio_w_CCS | biomass w/ CCS | #a7bf5eFF
-Sec_Ene_Ele_Win_Off | offshore wind | #699bffFF
-Sec_Ene_Ele_Win_Ons | onshore wind | #145db8
-Sec_Ene_Ele_Solar_Dec | solar rooftop | #FFEE75FF
-Sec_Ene_Ele_Solar_Cen | solar utility | #FEC906FF
-Sec_Ene_Ele_H2_FC | fuel cell | orchid
-Sec_Ene_Ele_H2_GT | hydrogen gas turbine | orchid
-""")
-
-ANNUAL_BY_FUEL = _variables("""
-Sec_Ene_Ele_Coa | coal | #4A4F54FF
-Sec_Ene_Ele_Oil | oil | #8C655DFF
-Sec_Ene_Ele_Gas | natural gas | #A99F6DFF
-Sec_Ene_Ele_Nuc | nuclear | #FF9626FF
-Sec_Ene_Ele_Hyd | hydro | #29dde3FF
-Sec_Ene_Ele_Geo | geothermal | #B74F3AFF
-Sec_Ene_Ele_Bio | biomass | #AFDD66FF
-Sec_Ene_Ele_Win | wind | #145db8
-Sec_Ene_Ele_Solar | solar | #FEC906FF
-Sec_Ene_Ele_H2_FC | fuel cell | orchid
-Sec_Ene_Ele_H2_GT | hydrogen gas turbine | orchid
-""")
-
-ANNUAL_WITH_OTHER = _variables("""
-other | other | #a3bdc9
-Sec_Ene_Ele_Coa | coal | #4A4F54FF
-Sec_Ene_Ele_Oil | oil | #8C655DFF
-Sec_Ene_Ele_Gas | natural gas | #A99F6DFF
-Sec_Ene_Ele_Bio | biomass | #AFDD66FF
-Sec_Ene_Ele_Win_Off | offshore wind | #699bffFF
-Sec_Ene_Ele_Win_Ons | onshore wind | #145db8
-Sec_Ene_Ele_Solar_Dec | solar rooftop | #FFEE75FF
-Sec_Ene_Ele_Solar_Cen | solar utility | #FEC906FF
-Sec_Ene_Ele_H2_FC | fuel cell | orchid
-Sec_Ene_Ele_H2_GT | hydrogen gas turbine | orchid
-""")
-
-ANNUAL_FOSSIL_SPLIT = _variables("""
-Sec_Ene_Ele_Fos_wo_CCS | fossil w/o CCS | #4A4F54FF
-Sec_Ene_Ele_Fos_w_CCS | fossil w/ CCS | #8A9197FF
-Sec_Ene_Ele_Nuc | nuclear | #E68639FF
-Sec_Ene_Ele_Hyd | hydro | #1C9EA0FF
-Sec_Ene_Ele_Geo | geothermal | #A94A4AFF
-Sec_Ene_Ele_Bio_wo_CCS | biomass w/o CCS | #617f00FF
-Sec_Ene_Ele_Bio_w_CCS | biomass w/ CCS | #AFDD66FF
-Sec_Ene_Ele_Win | wind | #145db8
-Sec_Ene_Ele_Solar | solar | #FEC906FF
-Sec_Ene_Ele_H2_FC | fuel cell | orchid
-Sec_Ene_Ele_H2_GT | hydrogen gas turbine | orchid
-""")
-
-ANNUAL_FOSSIL = _variables("""
-Sec_Ene_Ele_Fos | fossil | #62696FFF
-Sec_Ene_Ele_Nuc | nuclear | #E68639FF
-Sec_Ene_Ele_Hyd | hydro | #1C9EA0FF
-Sec_Ene_Ele_Geo | geothermal | #A94A4AFF
-Sec_Ene_Ele_Bio | biomass | #A9D16AFF
-Sec_Ene_Ele_Win | wind | #145db8
-Sec_Ene_Ele_Solar | solar | #FEC906FF
-Sec_Ene_Ele_H2_FC | fuel cell | orchid
-Sec_Ene_Ele_H2_GT | hydrogen gas turbine | orchid
-""")
-
-CAPACITY = _variables("""
-Cap_Ele_Coa_wo_CCS | coal w/o CCS | #4A4F54FF
-Cap_Ele_Coa_w_CCS | coal w/ CCS | #8A9197FF
-Cap_Ele_Oil | oil w/o CCS | #8C655DFF
-Cap_Ele_Gas_wo_CCS | gas w/o CCS | #A99F6DFF
-Cap_Ele_Gas_w_CCS | gas w/ CCS | #D6BD73FF
-Cap_Ele_Nuc | nuclear | #FF9626FF
-Cap_Ele_Hyd | hydro | #90d2f0FF
-Cap_Ele_Geo | geothermal | #B74F3AFF
-Cap_Ele_Bio_wo_CCS | biomass w/o CCS | #4E7F00FF
-Cap_Ele_Bio_w_CCS | biomass w/ CCS | #AFDD66FF
-Cap_Ele_Win_Off | offshore wind | #2192DEFF
-Cap_Ele_Win_Ons | onshore wind | #197EC0FF
-Cap_Ele_Solar_Dec | solar rooftop | #FFEE75FF
-Cap_Ele_Solar_Cen | solar utility | #FEC906FF
-Cap_Ele_H2_GT | hydrogen gas turbine | orchid
-""")
-
-COST = _variables("""
-Fuel | Fuel | #8C655DFF
-OPEX | OPEX | #4A4F54FF
-CAPEX (other) | CAPEX (other) | #8A9197FF
-CAPEX (fossil w/o CCS) | CAPEX (fossil w/o CCS) | #8c845b
-CAPEX (fossil w/ CCS) | CAPEX (fossil w/ CCS) | #c2ac69FF
-CAPEX (wind) | CAPEX (wind) | #0252b5
-CAPEX (solar) | CAPEX (solar) | #FEC906FF
-CAPEX (battery) | CAPEX (battery) | #32AC9AFF
-CAPEX (hydrogen) | CAPEX (hydrogen) | orchid
-CAPEX (domestic interconnection) | CAPEX (domestic interconnection) | #CCEEFFFF
-CAPEX (international interconnection) | CAPEX (international interconnection) | #83d1f7FF
-""")
-
-COST_COLLAPSED = _variables("""
-Fuel | Fuel | #8C655DFF
-OPEX | OPEX | #4A4F54FF
-CAPEX (other) | CAPEX (other) | #8A9197FF
-CAPEX (fossil) | CAPEX (fossil) | #c2ac69FF
-CAPEX (solar/wind) | CAPEX (solar/wind) | #FEC906FF
-CAPEX (battery) | CAPEX (battery) | #32AC9AFF
-CAPEX (hydrogen) | CAPEX (hydrogen) | orchid
-CAPEX (domestic interconnection) | CAPEX (domestic transmission) | #83d1f7FF
-CAPEX (international interconnection) | CAPEX (international transmission) | #0252b5
-""")
+# Variables in display order (variable, legend, colour) --------
+
+HOURLY = [
+    Variable("Fin_Ene_Ele", "demand", "#003C67FF"),
+    Variable("Sec_Ene_Ele_Sto_Cha_Gro_LiB", "battery charge", "#23e893"),
+    Variable("Sec_Ene_Ele_Sto_Cha_Gro_PHS", "PHS charge", "#9afcc9"),
+    Variable("Sec_Ene_Ele_Nuc", "nuclear", "#FF9626FF"),
+    Variable("Sec_Ene_Ele_Hyd", "hydro", "#29dde3FF"),
+    Variable("Sec_Ene_Ele_Geo", "geothermal", "#B74F3AFF"),
+    Variable("Sec_Ene_Ele_Coa_wo_CCS", "coal w/o CCS", "#4A4F54FF"),
+    Variable("Sec_Ene_Ele_Coa_w_CCS", "coal w/ CCS", "#8A9197FF"),
+    Variable("Sec_Ene_Ele_Bio_wo_CCS", "biomass w/o CCS", "#617f00FF"),
+    Variable("Sec_Ene_Ele_Bio_w_CCS", "biomass w/ CCS", "#a7bf5eFF"),
+    Variable("Sec_Ene_Ele_Gas_wo_CCS", "gas w/o CCS", "#8c845b"),
+    Variable("Sec_Ene_Ele_Gas_w_CCS", "gas w/ CCS", "#c2ac69FF"),
+    Variable("Sec_Ene_Ele_Oil", "oil w/o CCS", "#8C655DFF"),
+    Variable("Sec_Ene_Ele_Sto_Dis_LiB", "battery discharge", "#23e893"),
+    Variable("Sec_Ene_Ele_Sto_Dis_PHS", "PHS discharge", "#9afcc9"),
+    Variable("Sec_Ene_Ele_Own_Use_Ene_Sup_Hyd", "electrolysis", "orchid"),
+    Variable("Sec_Ene_Ele_Cur", "curtailment", "#F6CCFFFF"),
+    Variable("Sec_Ene_Ele_inc_Cur_Win_Off", "offshore wind", "#699bffFF"),
+    Variable("Sec_Ene_Ele_inc_Cur_Win_Ons", "onshore wind", "#145db8"),
+    Variable("Sec_Ene_Ele_inc_Cur_Solar_Dec", "solar rooftop", "#FFEE75FF"),
+    Variable("Sec_Ene_Ele_inc_Cur_Solar_Cen", "solar utility", "#FEC906FF"),
+    Variable("Sec_Ene_Ele_H2_FC", "fuel cell", "orchid"),
+    Variable("Sec_Ene_Ele_H2_GT", "hydrogen gas turbine", "orchid"),
+    Variable("Trd_Sec_Ene_Ele", "trade", "#a3e0ffFF"),
+]
+
+HOURLY_BY_ROLE = [
+    Variable("Charge", "Charge", "#23e893"),
+    Variable("Other", "Other", "grey50"),
+    Variable("Discharge", "Discharge", "#23e893"),
+    Variable("Curtailment", "Curtailment", "#F6CCFFFF"),
+    Variable("Wind", "Wind", "#145db8"),
+    Variable("Solar", "Solar", "#FEC906FF"),
+    Variable("Transmission", "Transmission", "#a3e0ffFF"),
+]
+
+ANNUAL = [
+    Variable("Sec_Ene_Ele_Trd_Los", "transmission loss", "#a3e0ffFF"),
+    Variable("Sec_Ene_Ele_Cur", "curtailment", "#F6CCFFFF"),
+    Variable("Sec_Ene_Ele_Sto_Los", "storage loss", "#23e893"),
+    Variable("Sec_Ene_Ele_Coa_wo_CCS", "coal w/o CCS", "#4A4F54FF"),
+    Variable("Sec_Ene_Ele_Coa_w_CCS", "coal w/ CCS", "#8A9197FF"),
+    Variable("Sec_Ene_Ele_Oil", "oil w/o CCS", "#8C655DFF"),
+    Variable("Sec_Ene_Ele_Gas_wo_CCS", "gas w/o CCS", "#8c845b"),
+    Variable("Sec_Ene_Ele_Gas_w_CCS", "gas w/ CCS", "#c2ac69FF"),
+    Variable("Sec_Ene_Ele_Nuc", "nuclear", "#FF9626FF"),
+    Variable("Sec_Ene_Ele_Hyd", "hydro", "#29dde3FF"),
+    Variable("Sec_Ene_Ele_Geo", "geothermal", "#B74F3AFF"),
+    Variable("Sec_Ene_Ele_Bio_wo_CCS", "biomass w/o CCS", "#617f00FF"),
+    Variable("Sec_Ene_Ele_Bio_w_CCS", "biomass w/ CCS", "#a7bf5eFF"),
+    Variable("Sec_Ene_Ele_Win_Off", "offshore wind", "#699bffFF"),
+    Variable("Sec_Ene_Ele_Win_Ons", "onshore wind", "#145db8"),
+    Variable("Sec_Ene_Ele_Solar_Dec", "solar rooftop", "#FFEE75FF"),
+    Variable("Sec_Ene_Ele_Solar_Cen", "solar utility", "#FEC906FF"),
+    Variable("Sec_Ene_Ele_H2_FC", "fuel cell", "orchid"),
+    Variable("Sec_Ene_Ele_H2_GT", "hydrogen gas turbine", "orchid"),
+]
+
+ANNUAL_WITH_OTHER = [
+    Variable("other", "other", "#a3bdc9"),
+    Variable("Sec_Ene_Ele_Coa", "coal", "#4A4F54FF"),
+    Variable("Sec_Ene_Ele_Oil", "oil", "#8C655DFF"),
+    Variable("Sec_Ene_Ele_Gas", "natural gas", "#A99F6DFF"),
+    Variable("Sec_Ene_Ele_Bio", "biomass", "#AFDD66FF"),
+    Variable("Sec_Ene_Ele_Win_Off", "offshore wind", "#699bffFF"),
+    Variable("Sec_Ene_Ele_Win_Ons", "onshore wind", "#145db8"),
+    Variable("Sec_Ene_Ele_Solar_Dec", "solar rooftop", "#FFEE75FF"),
+    Variable("Sec_Ene_Ele_Solar_Cen", "solar utility", "#FEC906FF"),
+    Variable("Sec_Ene_Ele_H2_FC", "fuel cell", "orchid"),
+    Variable("Sec_Ene_Ele_H2_GT", "hydrogen gas turbine", "orchid"),
+]
+
+ANNUAL_FOSSIL = [
+    Variable("Sec_Ene_Ele_Fos", "fossil", "#62696FFF"),
+    Variable("Sec_Ene_Ele_Nuc", "nuclear", "#E68639FF"),
+    Variable("Sec_Ene_Ele_Hyd", "hydro", "#1C9EA0FF"),
+    Variable("Sec_Ene_Ele_Geo", "geothermal", "#A94A4AFF"),
+    Variable("Sec_Ene_Ele_Bio", "biomass", "#A9D16AFF"),
+    Variable("Sec_Ene_Ele_Win", "wind", "#145db8"),
+    Variable("Sec_Ene_Ele_Solar", "solar", "#FEC906FF"),
+    Variable("Sec_Ene_Ele_H2_FC", "fuel cell", "orchid"),
+    Variable("Sec_Ene_Ele_H2_GT", "hydrogen gas turbine", "orchid"),
+]
+
+CAPACITY = [
+    Variable("Cap_Ele_Coa_wo_CCS", "coal w/o CCS", "#4A4F54FF"),
+    Variable("Cap_Ele_Coa_w_CCS", "coal w/ CCS", "#8A9197FF"),
+    Variable("Cap_Ele_Oil", "oil w/o CCS", "#8C655DFF"),
+    Variable("Cap_Ele_Gas_wo_CCS", "gas w/o CCS", "#A99F6DFF"),
+    Variable("Cap_Ele_Gas_w_CCS", "gas w/ CCS", "#D6BD73FF"),
+    Variable("Cap_Ele_Nuc", "nuclear", "#FF9626FF"),
+    Variable("Cap_Ele_Hyd", "hydro", "#90d2f0FF"),
+    Variable("Cap_Ele_Geo", "geothermal", "#B74F3AFF"),
+    Variable("Cap_Ele_Bio_wo_CCS", "biomass w/o CCS", "#4E7F00FF"),
+    Variable("Cap_Ele_Bio_w_CCS", "biomass w/ CCS", "#AFDD66FF"),
+    Variable("Cap_Ele_Win_Off", "offshore wind", "#2192DEFF"),
+    Variable("Cap_Ele_Win_Ons", "onshore wind", "#197EC0FF"),
+    Variable("Cap_Ele_Solar_Dec", "solar rooftop", "#FFEE75FF"),
+    Variable("Cap_Ele_Solar_Cen", "solar utility", "#FEC906FF"),
+    Variable("Cap_Ele_H2_GT", "hydrogen gas turbine", "orchid"),
+]
+
+COST = [
+    Variable("Fuel", "Fuel", "#8C655DFF"),
+    Variable("OPEX", "OPEX", "#4A4F54FF"),
+    Variable("CAPEX (other)", "CAPEX (other)", "#8A9197FF"),
+    Variable("CAPEX (fossil w/o CCS)", "CAPEX (fossil w/o CCS)", "#8c845b"),
+    Variable("CAPEX (fossil w/ CCS)", "CAPEX (fossil w/ CCS)", "#c2ac69FF"),
+    Variable("CAPEX (wind)", "CAPEX (wind)", "#0252b5"),
+    Variable("CAPEX (solar)", "CAPEX (solar)", "#FEC906FF"),
+    Variable("CAPEX (battery)", "CAPEX (battery)", "#32AC9AFF"),
+    Variable("CAPEX (hydrogen)", "CAPEX (hydrogen)", "orchid"),
+    Variable("CAPEX (domestic interconnection)", "CAPEX (domestic interconnection)", "#CCEEFFFF"),
+    Variable("CAPEX (international interconnection)", "CAPEX (international interconnection)", "#83d1f7FF"),
+]
+
+COST_COLLAPSED = [
+    Variable("Fuel", "Fuel", "#8C655DFF"),
+    Variable("OPEX", "OPEX", "#4A4F54FF"),
+    Variable("CAPEX (other)", "CAPEX (other)", "#8A9197FF"),
+    Variable("CAPEX (fossil)", "CAPEX (fossil)", "#c2ac69FF"),
+    Variable("CAPEX (solar/wind)", "CAPEX (solar/wind)", "#FEC906FF"),
+    Variable("CAPEX (battery)", "CAPEX (battery)", "#32AC9AFF"),
+    Variable("CAPEX (hydrogen)", "CAPEX (hydrogen)", "orchid"),
+    Variable("CAPEX (domestic interconnection)", "CAPEX (domestic transmission)", "#83d1f7FF"),
+    Variable("CAPEX (international interconnection)", "CAPEX (international transmission)", "#0252b5"),
+]
 
 # Variables drawn as outflows ---------------------------------
 
@@ -214,7 +155,6 @@ HOURLY_OUTFLOWS = [
     "Sec_Ene_Ele_Own_Use_Ene_Sup_Hyd",
     "Sec_Ene_Ele_Cur",
 ]
-HOURLY_BY_ROLE_OUTFLOWS = ["Charge", "Curtailment"]
 ANNUAL_OUTFLOWS = ["Sec_Ene_Ele_Trd_Los", "Sec_Ene_Ele_Cur", "Sec_Ene_Ele_Sto_Los"]
 
 # Category collapses ------------------------------------------
@@ -227,26 +167,26 @@ SMALL_SOURCES_AS_OTHER = {
     "Sec_Ene_Ele_Nuc": "other",
 }
 
-HOURLY_TO_ROLE = _pairs("""
-Sec_Ene_Ele_Sto_Cha_Gro_LiB | Charge
-Sec_Ene_Ele_Sto_Cha_Gro_PHS | Charge
-Sec_Ene_Ele_Nuc | Other
-Sec_Ene_Ele_Hyd | Other
-Sec_Ene_Ele_Geo | Other
-Sec_Ene_Ele_Coa | Other
-Sec_Ene_Ele_Bio | Other
-Sec_Ene_Ele_Gas | Other
-Sec_Ene_Ele_Oil | Other
-Sec_Ene_Ele_Sto_Dis_LiB | Discharge
-Sec_Ene_Ele_Sto_Dis_PHS | Discharge
-Sec_Ene_Ele_Own_Use_Ene_Sup_Hyd | Charge
-Sec_Ene_Ele_Cur | Curtailment
-Sec_Ene_Ele_inc_Cur_Win | Wind
-Sec_Ene_Ele_inc_Cur_Solar | Solar
-Sec_Ene_Ele_H2_FC | Discharge
-Sec_Ene_Ele_H2_GT | Discharge
-Trd_Sec_Ene_Ele | Transmission
-""")
+HOURLY_TO_ROLE = {
+    "Sec_Ene_Ele_Sto_Cha_Gro_LiB": "Charge",
+    "Sec_Ene_Ele_Sto_Cha_Gro_PHS": "Charge",
+    "Sec_Ene_Ele_Nuc": "Other",
+    "Sec_Ene_Ele_Hyd": "Other",
+    "Sec_Ene_Ele_Geo": "Other",
+    "Sec_Ene_Ele_Coa": "Other",
+    "Sec_Ene_Ele_Bio": "Other",
+    "Sec_Ene_Ele_Gas": "Other",
+    "Sec_Ene_Ele_Oil": "Other",
+    "Sec_Ene_Ele_Sto_Dis_LiB": "Discharge",
+    "Sec_Ene_Ele_Sto_Dis_PHS": "Discharge",
+    "Sec_Ene_Ele_Own_Use_Ene_Sup_Hyd": "Charge",
+    "Sec_Ene_Ele_Cur": "Curtailment",
+    "Sec_Ene_Ele_inc_Cur_Win": "Wind",
+    "Sec_Ene_Ele_inc_Cur_Solar": "Solar",
+    "Sec_Ene_Ele_H2_FC": "Discharge",
+    "Sec_Ene_Ele_H2_GT": "Discharge",
+    "Trd_Sec_Ene_Ele": "Transmission",
+}
 
 WIND_AND_SOLAR = [
     "Sec_Ene_Ele_Solar_Cen",
@@ -263,78 +203,77 @@ SMALL_LINKS_AS_OTHER = {
     "JP-CG / JP-KY": "Other",
 }
 
-PREFECTURE_GROUPS = _pairs("""
-JP-HD | Hokkaido
-JP-TH | Tohoku
-JP-KT | Kanto
-JP-CB | Chubu
-JP-HR | Hokuriku
-JP-KS | Kansai
-JP-CG | Chugoku
-JP-SK | Shikoku
-JP-KY | Kyushu
-""")
+PREFECTURE_GROUPS = {
+    "JP-HD": "Hokkaido",
+    "JP-TH": "Tohoku",
+    "JP-KT": "Kanto",
+    "JP-CB": "Chubu",
+    "JP-HR": "Hokuriku",
+    "JP-KS": "Kansai",
+    "JP-CG": "Chugoku",
+    "JP-SK": "Shikoku",
+    "JP-KY": "Kyushu",
+}
 
 # Code maps ---------------------------------------------------
 
-GENERATOR_VARIABLE = _pairs("""
-PVC | Cap_Ele_Solar_Cen
-PVD | Cap_Ele_Solar_Dec
-WON | Cap_Ele_Win_Ons
-WOF | Cap_Ele_Win_Off
-HYD | Cap_Ele_Hyd
-GEO | Cap_Ele_Geo
-BMS | Cap_Ele_Bio_wo_CCS
-BMS_CCS | Cap_Ele_Bio_w_CCS
-COL | Cap_Ele_Coa_wo_CCS
-COL_CCS | Cap_Ele_Coa_w_CCS
-GAS | Cap_Ele_Gas_wo_CCS
-GAS_CCS | Cap_Ele_Gas_w_CCS
-OIL | Cap_Ele_Oil
-NUC | Cap_Ele_Nuc
-""")
-
-STORAGE_VARIABLE = _pairs("""
-LIBE | Cap_Ele_Sto_LiB_Ene
-PHSE | Cap_Ele_Sto_PHS_Ene
-H2SE | Cap_Ele_Sto_H2S_Ene
-""")
+GENERATOR_VARIABLE = {
+    "PVC": "Cap_Ele_Solar_Cen",
+    "PVD": "Cap_Ele_Solar_Dec",
+    "WON": "Cap_Ele_Win_Ons",
+    "WOF": "Cap_Ele_Win_Off",
+    "HYD": "Cap_Ele_Hyd",
+    "GEO": "Cap_Ele_Geo",
+    "BMS": "Cap_Ele_Bio_wo_CCS",
+    "BMS_CCS": "Cap_Ele_Bio_w_CCS",
+    "COL": "Cap_Ele_Coa_wo_CCS",
+    "COL_CCS": "Cap_Ele_Coa_w_CCS",
+    "GAS": "Cap_Ele_Gas_wo_CCS",
+    "GAS_CCS": "Cap_Ele_Gas_w_CCS",
+    "OIL": "Cap_Ele_Oil",
+    "NUC": "Cap_Ele_Nuc",
+}
+
+STORAGE_VARIABLE = {
+    "LIBE": "Cap_Ele_Sto_LiB_Ene",
+    "PHSE": "Cap_Ele_Sto_PHS_Ene",
+    "H2SE": "Cap_Ele_Sto_H2S_Ene",
+}
 
 STORAGE_LABEL = {"Cap_Ele_Sto_LiB_Ene": "Li-ion battery", "Cap_Ele_Sto_PHS_Ene": "pumped hydro"}
 
-GENERATOR_COST_CLASS = _pairs("""
-PVC | CAPEX (solar)
-PVDC | CAPEX (solar)
-PVDR | CAPEX (solar)
-WNO | CAPEX (wind)
-WNB | CAPEX (wind)
-WNF | CAPEX (wind)
-GEO | CAPEX (other)
-BMS | CAPEX (other)
-BMS_CCS | CAPEX (other)
-PC | CAPEX (fossil w/o CCS)
-SC | CAPEX (fossil w/o CCS)
-IGCC | CAPEX (fossil w/o CCS)
-ST | CAPEX (fossil w/o CCS)
-OCGT | CAPEX (fossil w/o CCS)
-CCGT | CAPEX (fossil w/o CCS)
-CCGT_CCS | CAPEX (fossil w/ CCS)
-OIL | CAPEX (fossil w/o CCS)
-""")
-
-RENEWABLE_LABEL = _pairs("""
-PVC | solar utility
-PVDC | solar rooftop, commercial
-PVDR | solar rooftop, residential
-WNO | wind onshore
-WNB | wind offshore, fixed bottom
-WNF | wind offshore, floating
-""")
+GENERATOR_COST_CLASS = {
+    "PVC": "CAPEX (solar)",
+    "PVDC": "CAPEX (solar)",
+    "PVDR": "CAPEX (solar)",
+    "WNO": "CAPEX (wind)",
+    "WNB": "CAPEX (wind)",
+    "WNF": "CAPEX (wind)",
+    "GEO": "CAPEX (other)",
+    "BMS": "CAPEX (other)",
+    "BMS_CCS": "CAPEX (other)",
+    "PC": "CAPEX (fossil w/o CCS)",
+    "SC": "CAPEX (fossil w/o CCS)",
+    "IGCC": "CAPEX (fossil w/o CCS)",
+    "ST": "CAPEX (fossil w/o CCS)",
+    "OCGT": "CAPEX (fossil w/o CCS)",
+    "CCGT": "CAPEX (fossil w/o CCS)",
+    "CCGT_CCS": "CAPEX (fossil w/ CCS)",
+    "OIL": "CAPEX (fossil w/o CCS)",
+}
+
+RENEWABLE_LABEL = {
+    "PVC": "solar utility",
+    "PVDC": "solar rooftop, commercial",
+    "PVDR": "solar rooftop, residential",
+    "WNO": "wind onshore",
+    "WNB": "wind offshore, fixed bottom",
+    "WNF": "wind offshore, floating",
+}
 
 # Name patterns, first match wins -----------------------------
 
 COUNTRY_OF_NODE = [("JP-", "JPN"), ("CN-", "CHN"), ("KR", "KOR"), ("MN", "MNG")]
-COUNTRY_NAME_OF_NODE = [("JP-", "Japan"), ("CN-", "China"), ("KR", "Korea"), ("MN", "Mongolia")]
 COUNTRY_OF_GDP_REGION = {"China": "CHN", "Japan": "JPN", "South Korea": "KOR", "Mongolia": "MNG"}
 
 CAPACITY_CORRIDORS = [

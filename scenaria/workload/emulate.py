@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scenaria import vocab
 from scenaria.functions import first_match, year_bin
-from scenaria.operators import pivot_wider
+from scenaria.operators import pivot_wider, shared
 from scenaria.sources.inline import sql_literal
 
 # How TESTDATA values play the roles of the model ---------------
@@ -292,40 +292,70 @@ def link_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def link_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, Sc, L, YEAR, value): the symbol follows the return flag."""
-    symbol = _by_value("l_returnflag", {"A": "lnk_inv", "N": "lnk_fom", "R": "lnk_vom"})
-    return (
-        lines(spark, sf_dir, supplier=True)
-        .groupBy("Sc", _any_link().alias("L"), horizon(F.col("year")).alias("YEAR"), symbol.alias("symbol"))
-        .agg(_exact_sum("l_extendedprice").alias("value"))
-    )
+def _link_symbol() -> Column:
+    """The cost symbol of a link follows the return flag."""
+    return _by_value("l_returnflag", {"A": "lnk_inv", "N": "lnk_fom", "R": "lnk_vom"})
 
 
-def asset_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, Sc, N, R, SE0, YEAR, value) of generators and storages."""
+def _asset_symbol() -> Column:
     small = F.col("p_type") == "SMALL"
-    symbol = (
+    return (
         F.when((F.col("l_returnflag") == "A") & ~small, "gen_inv")
         .when(F.col("l_returnflag") == "A", "sto_inv")
         .when((F.col("l_returnflag") == "N") & ~small, "gen_fom")
         .when(F.col("l_returnflag") == "N", "sto_fom")
         .otherwise("gen_vom")
     )
+
+
+def _level() -> Column:
+    return _by_value("l_linestatus", {"O": "ALL"}, "SUB")
+
+
+def link_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, Sc, L, YEAR, value)."""
+    return (
+        lines(spark, sf_dir, supplier=True)
+        .groupBy("Sc", _any_link().alias("L"), horizon(F.col("year")).alias("YEAR"), _link_symbol().alias("symbol"))
+        .agg(_exact_sum("l_extendedprice").alias("value"))
+    )
+
+
+def asset_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, Sc, N, R, SE0, YEAR, value) of generators and storages."""
     return (
         lines(spark, sf_dir, part=True)
         .groupBy(
             "Sc",
             "N",
             _pick(BRAND_COST_CODE, "brand").alias("R"),
-            _by_value("l_linestatus", {"O": "ALL"}, "SUB").alias("SE0"),
+            _level().alias("SE0"),
             horizon(F.col("year")).alias("YEAR"),
-            symbol.alias("symbol"),
+            _asset_symbol().alias("symbol"),
         )
         .agg(_exact_sum("l_extendedprice").alias("value"))
     )
 
 
+def cost_symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`asset_costs` and :func:`link_costs` from one pass: each joined line becomes a row of
+    either kind before the one grouped sum that both read."""
+    text = F.lit(None).cast("string")
+    asset = F.struct(
+        F.lit("asset").alias("kind"), _asset_symbol().alias("symbol"), F.col("N").alias("N"), _pick(BRAND_COST_CODE, "brand").alias("R"),
+        _level().alias("SE0"), text.alias("L"),
+    )
+    link = F.struct(F.lit("link").alias("kind"), _link_symbol().alias("symbol"), text.alias("N"), text.alias("R"), text.alias("SE0"), _any_link().alias("L"))
+    rows = lines(spark, sf_dir, part=True, supplier=True).select(
+        "Sc", horizon(F.col("year")).alias("YEAR"), "l_extendedprice", F.explode(F.array(asset, link)).alias("x")
+    )
+    both = shared(rows.groupBy("x.kind", "x.symbol", "Sc", "x.N", "x.R", "x.SE0", "x.L", "YEAR").agg(_exact_sum("l_extendedprice").alias("value")))
+    return (
+        both.filter("kind = 'asset'").select("symbol", "Sc", "N", "R", "SE0", "YEAR", "value"),
+        both.filter("kind = 'link'").select("symbol", "Sc", "L", "YEAR", "value"),
+    )
+
+
 def gen_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         lines(spark, sf_dir, part=True)
@@ -355,13 +385,15 @@ def sto_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def potentials(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(installed by scenario, maximum) per node and renewable technology."""
-    li = lines(spark, sf_dir, part=True, supplier=True)
-    r = _by_value("p_type", TYPE_RENEWABLE)
-    local = li.filter((F.col("l_returnflag") == "R") & (F.col("N0") == F.col("N")))
-    built = local.groupBy("Sc", "N", r.alias("R")).agg(F.sum("l_quantity").alias("value"))
-    most = lines(spark, sf_dir, part=True).groupBy("N", r.alias("R")).agg(F.sum("l_quantity").alias("value"))
-    return built, most
+    """(installed by scenario, maximum) per node and renewable technology, from one pass over the lines."""
+    local = (F.col("l_returnflag") == "R") & (F.col("N0") == F.col("N"))
+    both = shared(
+        lines(spark, sf_dir, part=True, supplier=True)
+        .groupBy("Sc", "N", _by_value("p_type", TYPE_RENEWABLE).alias("R"))
+        .agg(F.sum(F.when(local, F.col("l_quantity"))).alias("built"), F.count(F.when(local, F.lit(1))).alias("n_built"), F.sum("l_quantity").alias("most"))
+    )
+    built = both.filter("n_built > 0").select("Sc", "N", "R", F.col("built").alias("value"))
+    return built, both.groupBy("N", "R").agg(F.sum("most").alias("value"))
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,8 @@ M = 1e6
 
 
 def increment_of(spark, d, first=2020):
-    asset = costs.asset_cost(em.asset_costs(spark, d))
-    link = costs.link_cost(em.link_costs(spark, d))
-    return costs.annual_increment(asset, link, first=first, baseline=em.BASELINE, scenarios=CODES)
+    asset, link = em.cost_symbols(spark, d)
+    return costs.annual_increment(costs.asset_cost(asset), costs.link_cost(link), first=first, baseline=em.BASELINE, scenarios=CODES)
 
 
 def npv_of(spark, d):

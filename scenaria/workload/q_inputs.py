@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from scenaria import functions as fn
 from scenaria import vocab
 from scenaria.functions.timeslice import hour_window_columns
-from scenaria.operators import grouped_sum, split_link
+from scenaria.operators import grouped_sum, pivot_longer, split_link
 from scenaria.operators.columns import categories_to_text, map_columns, select_renamed
 from scenaria.plans import inputs, maps
-from scenaria.sources import read_parameter, read_scenarios
+from scenaria.sources import read_gdp, read_node_attributes, read_parameter, read_scenario_tree, read_scenarios, write_by_key, write_table
 from scenaria.workload import emulate as em
 from scenaria.workload import oracle as o
 from scenaria.workload.q_mix import SHOWN, fossil_mix_of
@@ -226,12 +229,71 @@ def parameter_table(spark, d):
 @query(
     "S3",
     """
-    SELECT 'orders' AS Sc, o_orderstatus AS Sv, round(sum(o_totalprice) / 1e6, 4) AS value
-    FROM orders GROUP BY ALL""",
+    SELECT 'benchmark' AS Sc, count(*) AS n_rows, sum(length(text)) AS n_chars, count(*) AS n_absent FROM benchmark
+    UNION ALL SELECT 'conversations', count(*), sum(length(text)), count(*) FROM conversations
+    UNION ALL SELECT 'documents', count(*), sum(length(text)), count(*) FROM documents""",
 )
 def scenario_file(spark, d):
-    """A collection of scenario files read in one scan, the scenario taken from the path."""
-    rows = read_scenarios(spark, d, "o_totalprice", ["o_orderstatus"], ["orders"])
-    exact = rows.withColumn("value", F.col("value").cast("decimal(18,4)"))
-    total = exact.groupBy("Sc", F.col("o_orderstatus").alias("Sv")).agg(F.sum("value").cast("double").alias("value"))
-    return rounded(total, divisor=1e6)
+    """A collection of files with a common column in one scan, told apart by the name in the path; the symbol, which
+    none of them has, is NULL."""
+    rows = read_scenarios(spark, d, "score", ["text"], ["documents", "conversations", "benchmark"])
+    return rows.groupBy("Sc").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text")).alias("n_chars"), F.count(F.when(F.col("value").isNull(), 1)).alias("n_absent")
+    )
+
+
+# Files in the domain's own layouts: made from the given tables by the writers, then read -----------------
+
+
+def _files(spark):
+    """A new folder that all executors see; a local session without such a setting has one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or 'file://' + tempfile.gettempdir()}/scenaria-files-{uuid.uuid4().hex}"
+
+
+@query(
+    "S4 S9 S3 J8",
+    """
+    SELECT o_orderpriority AS Sc, CAST(year(o_orderdate) AS INTEGER) AS Sy, o_orderstatus AS N, round(sum(o_totalprice) / 1e6, 4) AS value
+    FROM orders WHERE substr(o_orderpriority, 1, 1) <> '2' AND year(o_orderdate) IN (1995, 1997) GROUP BY ALL""",
+)
+def scenario_tree(spark, d):
+    """One folder per scenario and year, of which only those of feasible scenarios and two years are opened."""
+    orders = em.table(spark, d, "orders")
+    total = orders.groupBy(F.col("o_orderpriority").alias("Sc"), F.year("o_orderdate").alias("Sy"), F.col("o_orderstatus").alias("N"))
+    rows = total.agg(F.sum(F.col("o_totalprice").cast("decimal(18,4)")).cast("double").alias("dmd"))
+    root = write_by_key(rows, _files(spark), "tree", ["Sc", "Sy"])
+    feasible = em.scenarios(spark, d).filter(F.col("Status") != "Infeasible")
+    return rounded(read_scenario_tree(spark, root, "dmd", ["N"], feasible, [1995, 1997]), divisor=1e6)
+
+
+@query(
+    "S5 S10 R2",
+    f"""
+    SELECT {o.lookup('Sr2', {v: k for k, v in vocab.COUNTRY_OF_GDP_REGION.items()})} AS Region, YEAR, round(GDP / 1e6, 4) AS "GDP"
+    FROM fx_gdp g WHERE YEAR BETWEEN 2020 AND 2050""",
+)
+def gdp_file(spark, d):
+    """A wide CSV file with a line without a region, as published series have at their end."""
+    path = write_table(em.gdp(spark, d), _files(spark), "gdp", "csv")
+    long = pivot_longer(read_gdp(spark, path), ["Region"], names_to="YEAR", values_to="GDP", names_type="int")
+    return rounded(long.filter(F.col("GDP").isNotNull()), "GDP", divisor=1e6)
+
+
+@query("S6", "SELECT Sr, round(centroid_x, 4) AS centroid_x, round(centroid_y, 4) AS centroid_y, 'Point' AS kind FROM fx_geo")
+def node_features(spark, d):
+    """Feature collections, several nodes a file, read back with their geometry as text."""
+    x, y = F.col("centroid_x"), F.col("centroid_y")
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.col("Sr").alias("N_PSY"), x, y).alias("properties"),
+        F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates")).alias("geometry"),
+    )
+    files = em.node_attributes(spark, d).groupBy(F.pmod(F.xxhash64("Sr"), F.lit(4)).alias("file")).agg(F.collect_list(feature).alias("features"))
+    path = f"{_files(spark)}/nodes"
+    text = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")
+    files.select("file", text).write.partitionBy("file").text(path)
+    nodes = read_node_attributes(spark, path)
+    return rounded(nodes.select("Sr", "centroid_x", "centroid_y", F.get_json_object("geometry", "$.type").alias("kind")), "centroid_x", "centroid_y")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scenaria import vocab
 from scenaria.functions import recode
-from scenaria.operators import country_net_flow, directed_flow
+from scenaria.operators import country_net_flow, directed_flow, shared
 from scenaria.plans import trade
 from scenaria.workload import emulate as em
 from scenaria.workload import oracle as o
@@ -18,8 +18,9 @@ Y = em.PLOT_YEAR
 NAMES = {"CHN": "China", "JPN": "Japan", "KOR": "Korea", "MNG": "Mongolia"}
 
 
-def signed_of(spark, d, value="snd"):
-    return trade.flow_of_links(em.flows(spark, d, Y), Y, F.col("L").rlike(vocab.AC_LINK), value)
+def signed_of(spark, d, value="snd", flows=None):
+    flows = em.flows(spark, d, Y) if flows is None else flows
+    return trade.flow_of_links(flows, Y, F.col("L").rlike(vocab.AC_LINK), value)
 
 
 def _labelled(df):
@@ -70,7 +71,8 @@ def directed_node_flow(spark, d):
       UNION ALL SELECT Sc, YEAR, T, N1, 'import', rec FROM fx_flow WHERE YEAR = {Y}) WHERE v <> 0 GROUP BY ALL""",
 )
 def node_flow_with_losses(spark, d):
-    return rounded(trade.trade_by_node(signed_of(spark, d), signed_of(spark, d, "rec")))
+    flows = shared(em.flows(spark, d, Y))  # sent and received amounts come from one pass
+    return rounded(trade.trade_by_node(signed_of(spark, d, "snd", flows), signed_of(spark, d, "rec", flows)))
 
 
 @query(

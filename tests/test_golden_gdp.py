@@ -6,12 +6,28 @@ from scenaria.plans import costs
 from scenaria.sources import read_gdp
 
 # Published series, billion USD_2017/yr, 2020..2100 by five years
-SERIES = """
-China 23516.1 30146.2 36229.4 41754.9 46183.5 50423.1 54381.7 57817.2 61129 64264.4 66786.7 68664.1 70044.6 71061.1 71883.6 72552.3 72931.3
-Japan 5113.07 5485.67 5705.2 5948.75 6157.06 6371.42 6598.6 6815.61 7007.88 7173.6 7306.8 7413.1 7508.57 7601.83 7687.09 7751.97 7782.79
-South_Korea 2145.25 2430.62 2670.11 2844.86 2969.21 3058.72 3120.21 3148.34 3147.11 3133.4 3104.19 3059.14 2999.27 2928.87 2850 2764.51 2675.99
-Mongolia 38.434 46.8166 56.3342 68.0089 80.7024 94.6743 110.563 129.041 150.506 175.207 202.339 231.524 262.873 296.553 332.772 371.48 412.447
-"""
+SERIES = {
+    "China": [
+        23516.1, 30146.2, 36229.4, 41754.9, 46183.5, 50423.1,
+        54381.7, 57817.2, 61129, 64264.4, 66786.7, 68664.1,
+        70044.6, 71061.1, 71883.6, 72552.3, 72931.3,
+    ],
+    "Japan": [
+        5113.07, 5485.67, 5705.2, 5948.75, 6157.06, 6371.42,
+        6598.6, 6815.61, 7007.88, 7173.6, 7306.8, 7413.1,
+        7508.57, 7601.83, 7687.09, 7751.97, 7782.79,
+    ],
+    "South Korea": [
+        2145.25, 2430.62, 2670.11, 2844.86, 2969.21, 3058.72,
+        3120.21, 3148.34, 3147.11, 3133.4, 3104.19, 3059.14,
+        2999.27, 2928.87, 2850, 2764.51, 2675.99,
+    ],
+    "Mongolia": [
+        38.434, 46.8166, 56.3342, 68.0089, 80.7024, 94.6743,
+        110.563, 129.041, 150.506, 175.207, 202.339, 231.524,
+        262.873, 296.553, 332.772, 371.48, 412.447,
+    ],
+}
 GOLDEN = {
     (2020, True): dict(CHN=5.574695e14, JPN=8.584586e13, KOR=3.928854e13, MNG=9.876320e11, Total=6.835915e14),
     (2020, False): dict(CHN=5.185555e14, JPN=8.149430e13, KOR=3.742705e13, MNG=8.678215e11, Total=6.383447e14),
@@ -25,9 +41,8 @@ def gdp(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("gdp") / "gdp.csv"
     years = range(2020, 2101, 5)
     lines = ['"Model","Scenario","Region","Variable","Unit",' + ",".join(f'"{y}"' for y in years)]
-    for row in SERIES.strip().splitlines():
-        name, *values = row.split()
-        lines.append(f'"m","SSP2","{name.replace("_", " ")}","GDP|PPP","u",' + ",".join(values))
+    for name, values in SERIES.items():
+        lines.append(f'"m","SSP2","{name}","GDP|PPP","u",' + ",".join(map(str, values)))
     lines.append('"(c) attribution line"')
     path.write_text("\n".join(lines) + "\n")
     return read_gdp(spark, str(path))

@@ -282,6 +282,19 @@ def test_duration_curve_breaks_ties_by_slice(table):
     assert got == [("q", 1, "t1"), ("q", 2, "t2"), ("s", 1, "t3"), ("s", 2, "t1"), ("s", 3, "t2")]
 
 
+@pytest.mark.parametrize("combine", ["only", "sum", "strict_sum"])
+def test_absent_cells_take_the_fill_under_every_combine(table, combine):
+    df = table("g string, y int, value double", ("a", 1, 2.0), ("b", 2, None))
+    got = op.densify(df, ["g"], "y", fill=7.0, domain=[1, 2, 3], combine=combine)
+    stored = 0.0 if combine == "sum" else 7.0  # a stored NULL counts as nothing in a sum
+    assert rows_of(got) == [("a", 1, 2.0), ("a", 2, 7.0), ("a", 3, 7.0), ("b", 1, 7.0), ("b", 2, stored), ("b", 3, 7.0)]
+    got = op.complete_series(df, ["g"], "y", [1, 2, 3], combine=combine)
+    stored = 0.0 if combine == "sum" else None
+    assert rows_of(got) == [("a", 1, 2.0), ("a", 2, None), ("a", 3, None), ("b", 1, None), ("b", 2, stored), ("b", 3, None)]
+    filled = op.carry_backward(op.complete_series(df.filter("g = 'a'"), ["g"], "y", [0, 1, 2], combine=combine), ["g"], "y")
+    assert rows_of(filled) == [("a", 0, 2.0), ("a", 1, 2.0), ("a", 2, 2.0)]
+
+
 def test_rank_rows_equals_window_on_a_hot_group(spark):
     """One group holds most rows; ranks must be those of a plain window."""
     df = spark.range(5000, numPartitions=7).select(

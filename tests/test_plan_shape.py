@@ -41,6 +41,35 @@ def test_hourly_panel_reads_the_events_once(spark):
     assert final_plan(df).count("FileScan parquet [ts") == 1
 
 
+@pytest.mark.parametrize(
+    "name,scan,times",
+    [
+        ("daily_balance", "FileScan parquet [ts", 1),
+        ("daily_dated_view", "FileScan parquet [ts", 1),
+        ("daily_view_trade_hidden", "FileScan parquet [ts", 1),
+        ("hour_window_view", "FileScan parquet [ts", 1),
+        ("dispatch_hourly_scenario", "FileScan parquet [ts", 1),
+        ("window_with_overlay", "FileScan parquet [ts", 2),
+        ("cost_pct_gdp", "FileScan parquet [l_orderkey", 1),
+        ("cost_per_decade", "FileScan parquet [l_orderkey", 1),
+        ("right_join_fill", "FileScan parquet [l_orderkey", 1),
+        ("node_flow_with_losses", "FileScan parquet [l_orderkey", 1),
+        ("generation_share", "FileScan parquet [l_orderkey", 1),
+        ("price_curve_every_line", "FileScan parquet [l_orderkey", 1),
+    ],
+)
+def test_facts_are_read_once(spark, name, scan, times):
+    df = QUERIES[name].plan(spark, SF_DIR)
+    df.collect()
+    assert final_plan(df).count(scan) == times
+
+
+def test_shares_need_no_window(spark):
+    df = QUERIES["generation_share"].plan(spark, SF_DIR)
+    df.collect()
+    assert "Window" not in final_plan(df)
+
+
 def test_large_joins_do_not_depend_on_broadcast(spark):
     """With broadcasting off the plans still are equi-joins on shuffled keys."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

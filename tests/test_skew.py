@@ -91,3 +91,63 @@ def test_rank_spreads_a_hot_group(hot_spark, hot_dir):
     groups = [r["count"] for r in rows.groupBy("Sc").count().collect()]
     assert max(groups) > sum(groups) / 3
     assert max(bins) < max(groups) / 20
+
+
+def pieces_of(df, keys, order, target):
+    """Rows in the largest piece of a cut."""
+    from scenaria.operators.rank import BINS_OF, cut_rows
+
+    return max(r["count"] for r in cut_rows(df, keys, order, target).groupBy(*keys, *BINS_OF).count().collect())
+
+
+@pytest.mark.parametrize(
+    "tie",
+    [
+        "concat('customer#', lpad(id, 9, '0'))",
+        "concat(repeat('é', 200), id)",
+        "date_add(date'2000-01-01', cast(id as int))",
+        "timestamp_seconds(id)",
+        "timestamp_ntz'2000-01-01' + make_interval(0, 0, 0, 0, 0, 0, id)",
+        "cast(id as decimal(20, 3))",
+        "encode(concat('x', lpad(id, 9, '0')), 'utf-8')",
+    ],
+)
+def test_a_run_of_equal_values_is_cut_by_its_tie(spark, tie):
+    """One value throughout a group, told apart by the tie column alone, of any type."""
+    from scenaria import operators as op
+
+    df = spark.range(20_000).selectExpr("1 AS g", "cast(7 AS double) AS v", f"{tie} AS tie", "id")
+    assert pieces_of(df, ["g"], [("v", True), ("tie", False)], 500) < 1000
+    some = df.sample(0.1, 3).union(df.limit(3).selectExpr("g", "v", "null AS tie", "-1 AS id"))
+    got, want = (sorted(map(tuple, f(some, ["g"], "v", ["tie", "id"], **how).collect()), key=str) for f, how in ((op.rank_rows, {"target": 100}), (op.duration_curve, {})))
+    assert got == want
+
+
+def test_a_share_has_no_hot_task(hot_spark, hot_dir):
+    df = QUERIES["generation_share"].plan(hot_spark, hot_dir)
+    df.collect()
+    assert "Window" not in final_plan(df)
+
+
+def hot_series(spark):
+    """One group of 60,000 steps with long gaps, some small ones, one without any value."""
+    big = spark.range(60_000).selectExpr("'big' AS g", "concat('D', lpad(id * 3, 9, '0')) AS t", "if(id % 997 = 5 or id between 20000 and 20010, cast(id as double), null) AS v")
+    small = spark.range(40).selectExpr("concat('s', id % 3) AS g", "concat('D', lpad(id, 9, '0')) AS t", "if(id % 7 = 3 and id % 3 < 2, cast(id as double), null) AS v")
+    rest = spark.range(9).selectExpr("cast(null as string) AS g", "concat('D', lpad(id, 9, '0')) AS t", "if(id = 4, 1.5D, null) AS v")
+    return big.union(small).union(rest)
+
+
+@pytest.mark.parametrize("name", ["carry_backward", "interpolate"])
+def test_fills_across_pieces_equal_the_window(spark, name):
+    from scenaria import operators as op
+
+    df, fill = hot_series(spark), getattr(op, name)
+    assert pieces_of(df, ["g"], [("t", False)], 1000) <= 1100
+    want = {(r.g, r.t): r.v for r in fill(df, ["g"], "t", "v").collect()}
+    got = fill(df, ["g"], "t", "v", target=1000)
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        w = want[r.g, r.t]
+        assert r.v == w or abs(r.v - w) < 1e-6, (r, w)
