@@ -27,9 +27,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from scenaria.llm.common import free_name, mix64, parts, ship, split_words, table
 
 SIMILARITY, SEED_WORDS = 0.8, 3
-#: Walks and places sampled of each: two places agree with probability p**2 in a walk; at p = 0.5
-#: (a fifth of the words edited) 32 walks find 1 - 0.75**32 = 0.9999.
-WALKS, PLACES = 32, 2
+#: Walks and places sampled of each. With a fifth of the words edited, both places of a walk agree in a share of
+#: cases that falls with the length, as walks fall into step again ever later: 0.1 for 150 words, 0.03 for 500, some
+#: 14 / words. 0.35 walks a word find 0.99 of all passages; short items have 32.
+WALKS, PLACES, WALKS_A_WORD = 32, 2, 0.35
 #: Bytes of item text in one index. More items are searched in several blocks, one after another.
 BLOCK_BYTES = 8 << 20
 AT_ONCE = 8 << 20
@@ -67,20 +68,27 @@ def _runs(number: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-def sampled(symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The PLACES sampled symbols of WALKS embeddings of each row of ``symbols`` (zeros behind size)."""
+def walks_of(level: int) -> int:
+    """Walks for items of up to 2 ** level words, a multiple of WALKS."""
+    return WALKS * max(1, math.ceil(WALKS_A_WORD * (1 << level) / WALKS)) if level > 7 else WALKS
+
+
+def sampled(symbols: np.ndarray, size: np.ndarray, walks: int = WALKS) -> np.ndarray:
+    """The PLACES sampled symbols of ``walks`` embeddings of each row of ``symbols`` (zeros behind size)."""
     n, width = symbols.shape
-    u = np.random.default_rng(11).random((WALKS, PLACES))
+    u = np.random.default_rng(11).random((walks, PLACES))
     place = (u[None] * 2 * size[:, None, None]).astype(np.int64)
-    trace = np.zeros((n, WALKS, 2 * width), np.uint64)
-    at = np.zeros((n, WALKS), np.int64)
-    row, walk = np.arange(n)[:, None], np.arange(WALKS, dtype=np.uint64)[None]
     padded = np.concatenate([symbols, np.zeros((n, 1), np.uint64)], axis=1)
-    for j in range(2 * width):
-        here = padded[row, np.minimum(at, width)]
-        trace[:, :, j] = here
-        at += (mix64(here ^ (walk << np.uint64(32)), j) & np.uint64(1)).astype(np.int64)
-    return np.take_along_axis(trace, place, axis=2)
+    out, row = np.zeros((n, walks, PLACES), np.uint64), np.arange(n)[:, None]
+    for first in range(0, walks, WALKS):
+        trace = np.zeros((n, WALKS, 2 * width), np.uint64)
+        at, walk = np.zeros((n, WALKS), np.int64), np.arange(first, first + WALKS, dtype=np.uint64)[None]
+        for j in range(2 * width):
+            here = padded[row, np.minimum(at, width)]
+            trace[:, :, j] = here
+            at += (mix64(here ^ (walk << np.uint64(32)), j) & np.uint64(1)).astype(np.int64)
+        out[:, first : first + WALKS] = np.take_along_axis(trace, place[:, first : first + WALKS], axis=2)
+    return out
 
 
 class Index:
@@ -92,9 +100,11 @@ class Index:
         self.ids = [ids[k] for k in kept]
         self.words = [number[bounds[k] : bounds[k + 1]] for k in kept]
         self.size = np.array([len(w) for w in self.words], np.int64)
-        self.sample = np.zeros((len(kept), WALKS, PLACES), np.uint64)
-        for group in self.by_width(self.size):
-            self.sample[group] = sampled(self.padded([self.words[k] for k in group], int(self.size[group].max())), self.size[group])
+        self.sample: list[np.ndarray] = [np.zeros((0, PLACES), np.uint64)] * len(kept)
+        for level, group in self.by_width(self.size):
+            found = sampled(self.padded([self.words[k] for k in group], int(self.size[group].max())), self.size[group], walks_of(level))
+            for k, one in zip(group.tolist(), found):
+                self.sample[k] = one
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         need = np.array([seed_size(n) for n in self.size], np.int64)
         for q in np.unique(need).tolist():
@@ -109,8 +119,8 @@ class Index:
             self.seeds[q] = h[order], item[order], offset[order], bitmap
 
     @staticmethod
-    def by_width(size: np.ndarray, most: int = 1 << 15) -> Iterator[np.ndarray]:
-        """Groups of rows of similar length, each of a bounded number of words."""
+    def by_width(size: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[int, np.ndarray]]:
+        """(level, rows): groups of rows of at most 2 ** level words, each of a bounded number of words."""
         if not len(size):
             return
         level = np.ceil(np.log2(np.maximum(size, 2))).astype(int)
@@ -118,7 +128,7 @@ class Index:
             rows = np.flatnonzero(level == x)
             step = max(1, most >> int(x))
             for k in range(0, len(rows), step):
-                yield rows[k : k + step]
+                yield int(x), rows[k : k + step]
 
     @staticmethod
     def padded(words: list[np.ndarray], width: int) -> np.ndarray:
@@ -148,14 +158,15 @@ class Index:
         windows = self.windows(bounds, number)
         size = self.size[windows[:, 1]]
         close = np.zeros(len(windows), bool)
-        for group in self.by_width(size):
+        for level, group in self.by_width(size):
             parts = []
             for d, k, s in windows[group]:
                 lo, hi = bounds[d], bounds[d + 1]
                 a, b = lo + max(s, 0), min(lo + s + self.size[k], hi)
                 parts.append(number[a:b])
-            got = sampled(self.padded(parts, int(size[group].max())), size[group])
-            close[group] = (got == self.sample[windows[group, 1]]).all(axis=2).any(axis=1)
+            got = sampled(self.padded(parts, int(size[group].max())), size[group], walks_of(level))
+            own = np.stack([self.sample[k] for k in windows[group, 1].tolist()])
+            close[group] = (got == own).all(axis=2).any(axis=1)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         tried: dict[tuple[int, int], int] = {}
         for d, k, s in windows[close].tolist():
