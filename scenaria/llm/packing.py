@@ -101,15 +101,15 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Placement]:
 
 def ranked(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Add ``rank`` (from 0) within ``length``. A length with many rows is ranked in slices by a
-    hash of the row, each behind those before it."""
+    hash of the row's number ``at``, each behind those before it; so repeated rows are in many slices too."""
     slices = counts.select("length", F.ceil(F.col("count") / F.lit(RANKED)).cast("int").alias("slices"))
     cut = rows.join(F.broadcast(slices), "length").withColumn(
-        "slice", F.pmod(F.xxhash64("id", "piece"), F.col("slices")).cast("int")
+        "slice", F.pmod(F.xxhash64("at"), F.col("slices")).cast("int")
     )
     sizes = cut.groupBy("length", "slice").agg(F.count("*").alias("size"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "slice").orderBy("id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "slice").orderBy("id", "piece", "at")
     numbered = cut.withColumn("row", F.row_number().over(within))
     return numbered.join(base, ["length", "slice"]).withColumn("rank", F.col("base") + F.col("row") - 1)
 
@@ -130,7 +130,8 @@ def pack(
     than the two named are not read; an empty table gives no piece.
     """
     spark = docs.sparkSession
-    rows = materialize(pieces(docs, id_col, text_col, capacity, end_id, vocab or vocab_path(), with_ids), "pieces")
+    made = pieces(docs, id_col, text_col, capacity, end_id, vocab or vocab_path(), with_ids)
+    rows = materialize(made.withColumn("at", F.monotonically_increasing_id()), "pieces")
     counts = rows.groupBy("length").count()
     histogram = {r["length"]: r["count"] for r in counts.collect()}  # at most ``capacity`` rows
     schema = "length long, p_rank long, p_k long, p_n long, p_seq long, p_off long"
