@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -135,13 +136,43 @@ class Shard:
             raise ValueError(f"{uri} is no shard of token ids")
         self.footer = json.loads(self.file.read_at(n, size - 12 - n))
         self.docs, self.width = self.footer["docs"], self.footer["width"]
-        self.keys, self.bounds, self.prints, self.ordinals = (self._part(p) for p in ("keys", "bounds", "prints", "ordinals"))
-        self.nulls = self._part("nulls").astype(bool)
-        self.hash = PerfectHash(self.footer["bits"], self._part("words"), self._part("ranks"), self._part("rest"))
+        self.parts: dict[str, np.ndarray] = {}
+
+    def _some(self, name: str, first: int, n: int) -> np.ndarray:
+        """``n`` entries of a part of the index, read from the file."""
+        at, _, kind = self.footer["parts"][name]
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(self.file.read_at(n * width, at + first * width), kind)
 
     def _part(self, name: str) -> np.ndarray:
-        at, n, kind = self.footer["parts"][name]
-        return np.frombuffer(self.file.read_at(n * np.dtype(kind).itemsize, at), kind)
+        """A whole part of the index, read when it is first asked for."""
+        if name not in self.parts:
+            self.parts[name] = self._some(name, 0, self.footer["parts"][name][1])
+        return self.parts[name]
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self._part("keys")
+
+    @cached_property
+    def nulls(self) -> np.ndarray:
+        return self._part("nulls").astype(bool)
+
+    @property
+    def bounds(self) -> np.ndarray:
+        return self._part("bounds")
+
+    @property
+    def prints(self) -> np.ndarray:
+        return self._part("prints")
+
+    @property
+    def ordinals(self) -> np.ndarray:
+        return self._part("ordinals")
+
+    @cached_property
+    def hash(self) -> PerfectHash:
+        return PerfectHash(self.footer["bits"], self._part("words"), self._part("ranks"), self._part("rest"))
 
     def ordinal(self, keys: np.ndarray) -> np.ndarray:
         """Ordinal of the first document of each key, -1 if the shard has none."""
@@ -159,9 +190,43 @@ class Shard:
         return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
     def get(self, key: int) -> np.ndarray | None:
-        """The ids of a key's first document; None if the shard has no such key."""
+        """The ids of a key's first document; None if the shard has no such key. Reads one word of each level
+        up to the key's, one entry of each other part and the ids."""
+        name, base = np.array([key], np.int64).view(np.uint64), 0
+        for level, m in enumerate(self.footer["bits"]):
+            at = int(mix64(name, level)[0] % np.uint64(m))
+            word = int(self._some("words", base + at // 64, 1)[0])
+            if word >> at % 64 & 1:
+                number = int(self._some("ranks", base + at // 64, 1)[0]) + (word & ((1 << at % 64) - 1)).bit_count()
+                break
+            base += m // 64
+        else:
+            return self._get_rest(key)
+        if int(self._some("prints", number, 1)[0]) != int(mix64(name, _FINGERPRINT)[0]) >> 32:
+            return None
+        return self._get_at(int(self._some("ordinals", number, 1)[0]))
+
+    def _get_rest(self, key: int) -> np.ndarray | None:
+        """Keys that no level placed; there hardly ever are any."""
+        if not self.footer["parts"]["rest"][1]:
+            return None
         at = int(self.ordinal(np.array([key], np.int64))[0])
-        return None if at < 0 else self.ids(at, at + 1)
+        return None if at < 0 else self._get_at(at)
+
+    def _get_at(self, at: int) -> np.ndarray:
+        lo, hi = (int(x) for x in self._some("bounds", at, 2))
+        return np.frombuffer(self.file.read_at((hi - lo) * self.width, lo * self.width), f"<u{self.width}").astype("<u4")
+
+    def ordinals_of(self, first: int, last: int) -> np.ndarray:
+        """Where the documents first .. last - 1 are, by their keys: the index leads to a key's first document, its
+        further ones follow. Documents without a key have none to look up; they come first in a shard."""
+        keys, nulls, at = self.keys[first:last], self.nulls[first:last], np.arange(first, last)
+        found = self.ordinal(keys)
+        if (found[~nulls] < 0).any() or (self.keys[found[~nulls]] != keys[~nulls]).any():
+            raise ValueError("the index does not lead to its keys")
+        none = int(self.nulls.sum())
+        repeat = at - none - np.searchsorted(self.keys[none:], keys)
+        return np.where(nulls, at, found + repeat)
 
 
 def write_shards(
@@ -171,14 +236,17 @@ def write_shards(
     (shard, path, n_docs, n_ids, base), base being the ids of all shards before.
 
     Shards are ranges of the key, a long, in ascending order (null keys first, documents with
-    equal keys by text). A task that is run again writes a file of another name; the manifest
+    equal keys by the start of the text; they may lie in several shards, also if they are equal rows). A task that is run again writes a file of another name; the manifest
     names only the files of tasks that ended well. Null texts are encoded as empty ones.
     """
     spark = docs.sparkSession
     ship(spark)
     folder, vocab = new_path(spark, "shards"), vocab or vocab_path()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(shards, "id") if shards else rows.repartitionByRange("id")
+    # a key that many rows share is cut by the text, and equal rows by their place in the input
+    order = ["id", "head", "at"]
+    rows = rows.withColumns({"head": F.substring("text", 1, 32), "at": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(vocab), TaskContext.get().partitionId()
@@ -197,7 +265,7 @@ def write_shards(
                 ["shard", "path", "n_docs", "n_ids"],
             )
 
-    made = dealt.sortWithinPartitions("id", "text").mapInArrow(run, "shard int, path string, n_docs long, n_ids long")
+    made = dealt.sortWithinPartitions(*order).select("id", "text").mapInArrow(run, "shard int, path string, n_docs long, n_ids long")
     manifest = materialize(made, "manifest")
     # One row per shard; the sum over those before needs them in one place.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -220,25 +288,22 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 shard = Shard(uri)
                 for lo in range(0, shard.docs, _READ):
                     hi = min(lo + _READ, shard.docs)
-                    keys, nulls = shard.keys[lo:hi], shard.nulls[lo:hi]
-                    at = shard.ordinal(keys)
-                    first = np.where(nulls, np.arange(lo, hi), at)
-                    if (first < 0).any() or (shard.keys[first[~nulls]] != keys[~nulls]).any():
-                        raise ValueError(f"the index of {uri} does not lead to its keys")
-                    order = np.arange(lo, hi)  # of documents with one key, the index names the first
-                    bounds = shard.bounds[lo : hi + 1].astype(np.int64)
-                    ids = shard.ids(lo, hi)
-                    cut = (bounds - bounds[0]).tolist()
-                    crc = [zlib.crc32(ids[s:e]) for s, e in zip(cut[:-1], cut[1:])]
+                    order = shard.ordinals_of(lo, hi)
+                    keys, nulls, first = shard.keys[order], shard.nulls[order], int(order.min())
+                    bounds = shard.bounds[first : int(order.max()) + 2].astype(np.int64)
+                    ids = shard.ids(first, int(order.max()) + 1)
+                    start, end = bounds[order - first], bounds[order - first + 1]
+                    cut = [ids[s:e] for s, e in zip((start - bounds[0]).tolist(), (end - bounds[0]).tolist())]
                     out = [
                         pa.array(keys, mask=nulls),
-                        pa.array(base + shard.bounds[order].astype(np.int64)),
-                        pa.array(np.diff(bounds)),
-                        pa.array(crc, pa.int64()),
+                        pa.array(base + start),
+                        pa.array(end - start),
+                        pa.array([zlib.crc32(x) for x in cut], pa.int64()),
                     ]
                     names = ["id", "start", "n_tokens", "ids_crc32"]
                     if with_ids:
-                        out.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.astype(np.int32))))
+                        offsets = np.concatenate([[0], np.cumsum(end - start)])
+                        out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([ids[:0], *cut]).astype(np.int32))))
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(out, names)
 

@@ -52,6 +52,41 @@ def test_odd_rows_and_keyed_access(spark, docs_of):
     assert tokenfile.read_shards(tokenfile.write_shards(docs_of(*pairs).limit(0))).count() == 0
 
 
+def test_rows_come_from_the_index(spark, docs_of, monkeypatch):
+    """With the ordinals of two keys exchanged, their rows change: positions alone do not make the result."""
+    docs = docs_of((1, "one"), (2, "two two"), (3, "three three three"))
+    manifest = tokenfile.write_shards(docs, shards=1)
+    path = manifest.first().path
+    shard = tokenfile.Shard(path)
+    good = shard.ordinals_of(0, 3).tolist()
+    changed = shard.ordinals.copy()
+    changed[shard.hash.number(np.array([1, 2], np.int64))] = [1, 0]
+    shard.parts["ordinals"] = changed
+    assert good == [0, 1, 2]
+    with pytest.raises(ValueError, match="index"):
+        shard.ordinals_of(0, 3)
+    assert shard.ordinal(np.array([1, 2, 3, 4], np.int64)).tolist() == [1, 0, 2, -1]
+
+
+def test_a_look_up_reads_a_few_words(spark, docs_of):
+    docs = spark.range(20_000).selectExpr("id * 3 AS doc_id", "concat('t ', id) AS text")
+    shard = tokenfile.Shard(tokenfile.write_shards(docs, shards=1).first().path)
+    got = shard.get(300)
+    assert not shard.parts and len(got) and got[-1] == 2
+    at = int(shard.ordinal(np.array([300], np.int64))[0])
+    assert got.tolist() == shard.ids(at, at + 1).tolist() and all(shard.get(k) is None for k in (1, 301, -5))
+
+
+def test_one_key_of_a_third_of_the_rows_is_several_shards(spark, docs_of):
+    docs = docs_of(*[(k, f"t {k}") for k in range(200)], *[(77, "same text")] * 100)
+    manifest = tokenfile.write_shards(docs.repartition(6), shards=6)
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == 300 and max(sizes) < 100
+    rows = tokenfile.read_shards(manifest).orderBy("start").collect()
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(300)]
+    assert [r.id for r in rows] == sorted(r.id for r in rows)
+
+
 def test_counts_of_table(spark, sf_dir):
     data = pq.read_table(f"{sf_dir}/documents.parquet")
     t = Tokenizer.from_file(vocab_path())
