@@ -31,7 +31,7 @@ from scenaria.llm.common import materialize, mix64, parts, ship, table
 
 LONGEST, LEAST, FIRST, COVERED = 5, 100, 2000, 100
 #: Bytes of text of a shard, and those that are taken apart at once.
-SHARD, AT_ONCE = 48 << 20, 4 << 20
+SHARD, AT_ONCE = 12 << 20, 4 << 20
 #: Bits of a filter: 16 for each hash, between these powers of 2 (32 MB at most).
 FEWEST_BITS, MOST_BITS = 20, 28
 #: Slices of a language for the first ranking.
@@ -97,17 +97,22 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
     def take() -> Shard:
         words = pa.chunked_array([w for w, _, _ in held]).unify_dictionaries()
         vocab = words.chunk(0).dictionary
-        codes = np.concatenate([np.asarray(c.indices, np.int64) for c in words.chunks])
-        lang = np.concatenate([g for _, _, g in held])
-        pair, ids = np.unique(lang * max(1, len(vocab)) + codes, return_inverse=True)
+        pair = np.concatenate([g * len(vocab) + np.asarray(c.indices) for c, (_, _, g) in zip(words.chunks, held)])
+        if len(known) * len(vocab) <= 8 * len(pair):
+            there = np.zeros(len(known) * len(vocab), bool)
+            there[pair] = True
+            ids = (np.cumsum(there, dtype=np.int32) - 1)[pair]
+            pair = np.flatnonzero(there)
+        else:
+            pair, ids = np.unique(pair, return_inverse=True)
         lang, code = pair // max(1, len(vocab)), pair % max(1, len(vocab))
         word = vocab.take(pa.array(code))
         digest = xxhash.xxh3_64_intdigest
         names = np.array([digest(n.encode()) for n in known], np.uint64)
-        plain = np.fromiter((digest(w) for w in word.to_pylist()), np.uint64, len(word))
+        plain = np.fromiter((digest(w.as_buffer()) for w in word), np.uint64, len(word))
         hashes = mix64(plain ^ mix64(names[lang], 1), 2) if len(word) else plain
         sizes = np.array([bytes_of.get(k, 0) for k in range(len(known))])
-        return Shard(ids.astype(np.int32), np.concatenate([f for _, f, _ in held]), lang, word, hashes, list(known), sizes, [t for _, t in known.values()])
+        return Shard(ids.astype(np.int32, copy=False), np.concatenate([f for _, f, _ in held]), lang, word, hashes, list(known), sizes, [t for _, t in known.values()])
 
     for b in (part for batch in batches for part in parts(batch, 2, min(AT_ONCE, size))):
         words, fresh, n = words_of(b.column(2))
@@ -120,10 +125,10 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
         held.append((words, fresh, np.repeat(lang, n)))
         got += int(length.sum())
         if got >= size:
-            yield take()
-            held, got = [], 0
-            known.clear()
-            bytes_of.clear()
+            shard = take()
+            held, known, bytes_of, got = [], {}, {}, 0
+            yield shard
+            del shard
     if held:
         yield take()
 
@@ -144,26 +149,31 @@ def levels(shard: Shard, accept: Callable[[int, Level], np.ndarray], longest: in
     """The accepted phrases of 1 to ``longest`` words. A phrase is looked at if what is left of it without its first
     and without its last word was accepted."""
     n = len(shard.ids)
-    first = Level(np.arange(len(shard.lang))[:, None], np.bincount(shard.ids, minlength=len(shard.lang)), shard.hashes)
+    first = Level(np.arange(len(shard.lang), dtype=np.int32)[:, None], np.bincount(shard.ids, minlength=len(shard.lang)), shard.hashes)
     ok = accept(1, first)
-    yield first.some(ok)
-    number = np.where(ok, np.cumsum(ok) - 1, -1)
-    at, word_of = number[shard.ids], np.flatnonzero(ok)
-    level, width = first.some(ok), max(1, int(ok.sum()))
-    last_word = at
+    level = first.some(ok)
+    yield level
+    word_of, width = np.flatnonzero(ok).astype(np.int32), max(1, int(ok.sum()))
+    last_word = at = _numbers(ok)[shard.ids]
     for k in range(2, longest + 1):
-        start = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & ~shard.fresh[1:]) if k == 2 else np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-        start = start[start + k <= n]
-        key, back, count = np.unique(at[start] * width + last_word[start + k - 1], return_inverse=True, return_counts=True)
-        head, tail = key // width, key % width
-        words = np.column_stack([level.words[head], word_of[tail]])
-        level = Level(words, count, mix64(level.hashes[head] ^ mix64(shard.hashes[word_of[tail]], k), k))
+        start = (at[:-1] >= 0) & (at[1:] >= 0)
+        if k == 2:
+            start &= ~shard.fresh[1:]
+        start = np.flatnonzero(start[: max(0, n - k + 1)])
+        key, back, count = np.unique(at[start] * np.int64(width) + last_word[start + k - 1], return_inverse=True, return_counts=True)
+        head, tail = key // width, word_of[key % width]
+        del key
+        level = Level(np.column_stack([level.words[head], tail]), count, mix64(level.hashes[head] ^ mix64(shard.hashes[tail], k), k))
         ok = accept(k, level)
         level = level.some(ok)
         yield level
-        number = np.where(ok, np.cumsum(ok) - 1, -1)
-        at = np.full(n, -1, np.int64)
-        at[start] = number[back]
+        at = np.full(n, -1, np.int32)
+        at[start] = _numbers(ok)[back]
+
+
+def _numbers(ok: np.ndarray) -> np.ndarray:
+    """Place of each accepted row among the accepted ones, -1 for the others."""
+    return np.where(ok, np.cumsum(ok, dtype=np.int32) - 1, -1).astype(np.int32)
 
 
 def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
