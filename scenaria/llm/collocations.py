@@ -3,8 +3,8 @@
 The texts are dealt into shards of SHARD bytes. Each shard is mined completely, level by level, for
 the phrases that reach its share of the support (``least`` times its part of the language's
 bytes, rounded up). A phrase that reaches ``least`` overall does so in one shard at least, so the
-union of what the shards found holds every frequent phrase; a second pass counts all phrases of
-the union exactly, as texts.
+union of what the shards found holds every frequent phrase; phrases that cannot reach ``least`` even if all other
+shards have them just below their local support leave it, and a second pass counts the rest exactly, as texts.
 
 The share shrinks as shards grow in number, to one occurrence at last. What keeps the union from becoming
 everything are two passes before it, over hashes of words and of pairs of words: a frequent phrase
@@ -239,10 +239,21 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, lang_c
                 ok = level.count >= local[shard.lang[level.words[:, 0]]]
                 return ok & holds((words if k == 1 else pairs).value, level.hashes) if k <= 2 else ok
 
+            names = pa.array(shard.langs, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int64()), names, pa.array(local - 1)], ["h", "lang", "n"])
             for level in levels(shard, accept, longest):
-                yield pa.RecordBatch.from_arrays([pa.array(level.hashes.view(np.int64))], ["h"])
-
-    union = bit_filter(materialize(rows.mapInArrow(mine, "h long").distinct(), "candidates"))
+                lang = shard.lang[level.words[:, 0]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(level.hashes.view(np.int64)), names.take(pa.array(lang)), pa.array(level.count - (local - 1)[lang])], ["h", "lang", "n"]
+                )
+
+    # A shard that doesn't report a phrase has its local support less one of it at most. So what the others have above
+    # that must make up for the rest, or the phrase can't reach the support.
+    mined = materialize(rows.mapInArrow(mine, "h long, lang string, n long"), "mined")
+    most = mined.filter("h is null").groupBy("lang").agg((F.lit(least) - F.sum("n")).alias("missing"))
+    above = mined.filter("h is not null").groupBy("h", "lang").agg(F.sum("n").alias("n"))
+    found = above.join(materialize(most, "missing"), "lang").filter(F.col("n") >= F.col("missing")).select("h")
+    union = bit_filter(materialize(found.distinct(), "candidates"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, size):
