@@ -229,9 +229,9 @@ def parameter_table(spark, d):
 @query(
     "S3",
     """
-    SELECT 'benchmark' AS Sc, count(*) AS n_rows, sum(length(text)) AS n_chars, count(*) AS n_absent FROM benchmark
-    UNION ALL SELECT 'conversations', count(*), sum(length(text)), count(*) FROM conversations
-    UNION ALL SELECT 'documents', count(*), sum(length(text)), count(*) FROM documents""",
+    SELECT 'benchmark' AS Sc, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) AS n_absent FROM benchmark
+    UNION ALL SELECT 'conversations', count(*), CAST(sum(length(text)) AS BIGINT), count(*) FROM conversations
+    UNION ALL SELECT 'documents', count(*), CAST(sum(length(text)) AS BIGINT), count(*) FROM documents""",
 )
 def scenario_file(spark, d):
     """A collection of files with a common column in one scan, told apart by the name in the path; the symbol, which
