@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from scenaria.operators.joins import natural_join, shared
 
 BINS = 1024
+#: Parts of a group for its joins with bounds.
+PARTS = 1024
 #: Bin numbers of a row: each cuts what the one before left too large.
 BINS_OF = ("__b1", "__b2", "__b3")
 
@@ -99,17 +101,22 @@ def cut_rows(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool
     values is thus cut by the next column, and texts by the bytes after those that they share.
     Bounds are exact minima and maxima: they do not depend on the order of rows, so every evaluation gives the same bins.
     The rows are computed once: all bounds, counts and the result read one exchange that deals them out evenly.
+    Rows meet the bounds of their group in PARTS parts, by a hash of the order, so that no join gathers a group: there are at
+    most three bounds, of PARTS rows each, for ``target`` rows.
     """
     keys = list(keys)
     by = [_Coordinate(df, i, *c) for i, c in enumerate(order)]
-    rows = shared(df.withColumns({c.name: c.code for c in by}).hint("rebalance"))
+    coded = df.withColumns({c.name: c.code for c in by})
+    part = F.pmod(F.xxhash64(*[c.name for c in by]), F.lit(PARTS)).cast("int")
+    rows = shared(coded.withColumn("__part", part).hint("rebalance"))
     for k, bin_ in enumerate(BINS_OF):
         at = [*keys, *BINS_OF[:k]]
         used = by[:1] if k == 0 and not by[0].text else by  # the first bounds are of all rows: a hash aggregate of numbers
         still = rows if k == 0 else rows.filter(f"__large{k - 1}").drop(*_bounds_of(by))
         stats = still.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"), *[x for c in used for x in c.stats()])
         stats = stats.filter(F.col("__n") > target).withColumn("__n", F.lit(True))
-        rows = natural_join(rows.drop(*_bounds_of(by)), stats.withColumnRenamed("__n", f"__large{k}"), "left", on=at)
+        stats = stats.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        rows = natural_join(rows.drop(*_bounds_of(by)), stats.withColumnRenamed("__n", f"__large{k}"), "left", on=[*at, "__part"])
         cut = F.lit(0)
         for c in reversed(used):
             cut = F.when(F.col(c.varies), c.bin()).otherwise(cut)

@@ -385,3 +385,21 @@ def test_country_net_flow_is_strict(table):
     df = table("Sc string, Sy int, St string, N string, Sv string, value double", *rows)
     got = rows_of(op.country_net_flow(df, F.col("N")), "Sr", "import", "export", "value")
     assert got == [("JP-A", 3.0, None, None), ("KR", 2.0, 0.0, 2.0)]
+
+
+def test_no_join_of_a_ranking_gathers_a_group(spark, monkeypatch):
+    """Rows meet the bounds of a large group, or of a run of one value, in many parts."""
+    from scenaria.operators import rank
+
+    real, most = rank.natural_join, []
+
+    def seen(left, right, how, on):
+        most.append(left.groupBy(*on).count().agg(F.max("count")).first()[0])
+        return real(left, right, how, on=on)
+
+    monkeypatch.setattr(rank, "natural_join", seen)
+    df = spark.range(5000).select(F.lit("x").alias("g"), F.when(F.col("id") < 2500, 1.0).otherwise(F.col("id")).alias("v"), "id")
+    got = op.rank_rows(df, ["g"], "v", ["id"], target=100)
+    want = sorted(((1.0 if k < 2500 else float(k), k) for k in range(5000)), key=lambda r: (-r[0], r[1]))
+    assert [(r.v, r.id) for r in got.orderBy("T").collect()] == want
+    assert len(most) == 4 and max(most) <= 150
