@@ -2,8 +2,8 @@
 
 P(word | word before) = P(class | class before) * P(word | class). Exchange clustering assigns the classes:
 
-1. Frequent words (a 1 / HEAD share of the tokens of a block of text or more, HEAD of them at most) and
-   the counts of their pairs, over all texts, are exchanged between classes one word at a time, each
+1. Frequent words (a 1 / HEAD share of the tokens of a block of text or more; the HEAD most frequent of them) and
+   the counts of their pairs, in all blocks, are exchanged between classes one word at a time, each
    to the class with the largest likelihood, until a sweep moves none.
 2. Every other word of the training texts goes to the class with the largest gain of likelihood, from all its
    neighbours among the frequent words, counted over all texts.
@@ -25,11 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from scenaria.llm.collocations import bit_filter, holds
 from scenaria.llm.common import materialize, parts, ship, split_words, table
 
 CLASSES, HEAD, SWEEPS = 32, 4096, 12
@@ -129,21 +131,39 @@ def _sequence(codes: np.ndarray, bounds: np.ndarray, some: np.ndarray, end: int)
 
 
 def _head_pairs(texts: DataFrame, head: int, size: int) -> DataFrame:
-    """(a, b, n): counts of pairs of words that are frequent in a block of training text, summed; the empty word is the end of a text."""
+    """(a, b, n): counts over all training texts of pairs whose words are frequent in a block or more; the empty word is the end
+    of a text, a null ``a`` any other word, so that the counts of a word ``b`` add up to its occurrences.
+
+    Which words are frequent is known from all blocks before pairs are counted (a word with a share of 1 / ``head`` of all tokens has it in
+    a block at least). They travel as a bit filter of bounded size, which may let a few more words be counted.
+    """
+
+    size = min(size, AT_ONCE)  # smaller blocks name more words, and take less memory
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held, codes, bounds, vocab in _tokens(batches, size):
+            s = _sequence(codes, bounds, ~held, len(vocab))
+            count = np.bincount(s, minlength=len(vocab) + 1)[: len(vocab)]
+            yield pa.RecordBatch.from_arrays([vocab.filter(pa.array((count > 0) & (count * head >= len(s)))).cast(pa.string())], ["word"])
+
+    hashes = texts.mapInArrow(frequent, "word string").select(F.xxhash64("word").alias("h")).distinct()
+    some = bit_filter(materialize(hashes, "frequent"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held, codes, bounds, vocab in _tokens(batches, size):
             words = len(vocab)
             s = _sequence(codes, bounds, ~held, words)
-            count = np.bincount(s, minlength=words + 1)
-            frequent = count * head >= len(s)
-            frequent[words] = True
-            number = np.cumsum(frequent) - 1
-            before = np.concatenate([[words], s[:-1]]) if len(s) else s
-            ok = frequent[before] & frequent[s]
-            pair, n = np.unique(number[before[ok]] * int(frequent.sum()) + number[s[ok]], return_counts=True)
-            names = pa.concat_arrays([vocab, pa.array([""], pa.large_string())]).take(pa.array(np.flatnonzero(frequent))).cast(pa.string())
-            a, b = (names.take(pa.array(x)) for x in np.divmod(pair, int(frequent.sum())))
+            if not len(s):
+                continue
+            known = np.append(holds(some.value, np.fromiter((xxhash.xxh64_intdigest(w.as_buffer(), 42) for w in vocab), np.uint64, words)), True)
+            other = int(known.sum())
+            number = np.where(known, np.cumsum(known) - 1, other)[s]
+            before = np.concatenate([[other - 1], number[:-1]])  # the end is the last known one
+            ok = number < other
+            pair, n = np.unique(before[ok] * (other + 1) + number[ok], return_counts=True)
+            names = pa.concat_arrays([vocab, pa.array([""], pa.large_string())]).take(pa.array(np.flatnonzero(known))).cast(pa.string())
+            names = pa.concat_arrays([names, pa.nulls(1, pa.string())])
+            a, b = (names.take(pa.array(x)) for x in np.divmod(pair, other + 1))
             yield pa.RecordBatch.from_arrays([a, b, pa.array(n, pa.int64())], ["a", "b", "n"])
 
     return texts.mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -152,7 +172,8 @@ def _head_pairs(texts: DataFrame, head: int, size: int) -> DataFrame:
 def head_classes(texts: DataFrame, classes: int, head: int, size: int) -> tuple[dict[str, int], np.ndarray]:
     """Classes of the frequent words, and the counts of pairs of their classes (the last one is the end of a text).
 
-    At most ``head`` words and head ** 2 pairs whatever the texts hold; the exchange runs in one task.
+    At most ``head`` words and head ** 2 pairs whatever the texts hold; the exchange runs in one task. All other words
+    get their classes from :func:`word_classes`.
     """
     pairs = materialize(_head_pairs(texts, head, size), "pairs")
     frequent = pairs.filter("b <> ''").groupBy(F.col("b").alias("word")).agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "word").limit(head)
@@ -197,13 +218,17 @@ def _encoded(texts: DataFrame, head: dict[str, int], classes: int, size: int) ->
         for ids, held, codes, bounds, vocab in _tokens(batches, size):
             words = len(vocab)
             at = np.asarray(pc.fill_null(pc.index_in(vocab.cast(pa.string()), names), -1), np.int64)
-            cls = np.append(np.where(at >= 0, of[at] if len(of) else 0, -1), classes)
+            kind_ = np.int32 if (words + 1) * width < 1 << 31 else np.int64
+            cls = np.append(np.where(at >= 0, of[at] if len(of) else 0, -1), classes).astype(kind_)
+            edge = lambda x: np.array([x], kind_)
             s = _sequence(codes, bounds, ~held, words)
             n = np.bincount(s, minlength=words + 1)[:words]
-            before, after = (np.concatenate([[classes], cls[s[:-1]]]), np.concatenate([cls[s[1:]], [-1]])) if len(s) else (s, s)
+            before, after = (np.concatenate([edge(classes), cls[s[:-1]]]), np.concatenate([cls[s[1:]], edge(-1)])) if len(s) else (s, s)
             open_ = cls[s] < 0
-            keys = [s[ok].astype(np.int64) * width + more + side[ok] for side, more in ((before, 0), (after, classes + 1)) for ok in [open_ & (side >= 0)]]
+            keys = [s[ok].astype(kind_) * width + more + side[ok] for side, more in ((before, 0), (after, classes + 1)) for ok in [open_ & (side >= 0)]]
+            del before, after, open_, s
             key, times = np.unique(np.concatenate(keys), return_counts=True)
+            del keys
             cut = np.searchsorted(key, np.arange(words + 1) * width).astype(np.int32)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(cut), pa.array(x, pa.int32()))
             full = lambda m: pa.array(np.full(m, block))

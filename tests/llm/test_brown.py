@@ -87,6 +87,23 @@ def test_exchange_finds_the_classes_of_a_grammar():
     assert sum(f.most_common(1)[0][1] for f in found.values()) >= 0.9 * len(names)
 
 
+def test_pairs_are_counted_in_blocks_where_a_word_is_rare(spark):
+    """Words that are frequent in one block alone: their pairs count in all."""
+    fill = [[f"f{k}x{j}" for j in range(300)] for k in range(4)]
+    rows = [(k, False, " ".join(["red apple"] * (40 if k == 0 else 2) + ["sour apple"] * (40 if k == 3 else 1) + fill[k])) for k in range(4)]
+    rows += [(9, True, "red apple " * 50), (10, False, None)]
+    df = spark.createDataFrame(rows, "id long, held boolean, text string").repartitionByRange(6, "id")
+    got = {(r.a, r.b): r.n for r in b._head_pairs(df, 20, 1000).collect()}
+    want = Counter()
+    for _, held, text in rows:
+        words = [w if w in ("red", "apple", "sour") else None for w in (text or "").split()]
+        if not held:
+            want.update((x, y) for x, y in zip(["", *words], [*words, ""]) if y is not None)
+    assert got == want
+    of, _ = b.head_classes(df, 2, 20, 1000)
+    assert [*of] == ["apple", "red", "sour"]
+
+
 def test_best_class_is_the_largest_gain():
     rng = np.random.default_rng(3)
     classes, words = 4, 50
