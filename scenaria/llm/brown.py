@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from scenaria.llm.collocations import bit_filter, holds
-from scenaria.llm.common import materialize, parts, ship, split_words, table
+from scenaria.llm.common import give_back, materialize, parts, ship, split_words, table
 
 CLASSES, HEAD, SWEEPS = 32, 4096, 12
 #: Bytes of text of a block, and those that are taken apart at once.
@@ -110,6 +110,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
         bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
         return pa.concat_arrays(ids), np.concatenate(held), flat, bounds, words.chunk(0).dictionary
 
+    give_back()
     for b in (part for batch in batches for part in parts(batch, 2, min(AT_ONCE, size))):
         bounds, flat, vocab = split_words(pc.ascii_lower(b.column(2)))
         ids.append(b.column(0))
@@ -120,6 +121,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
         if got >= size:
             yield take()
             ids, held, codes, counts, got = [], [], [], [], 0
+            give_back()
     if ids:
         yield take()
 
@@ -302,6 +304,7 @@ def word_classes(lexicons: DataFrame, head: dict[str, int], both: np.ndarray, cl
         rows = rows.groupBy("shard", "block").applyInArrow(merge, "shard long, block long, word string, n long, slots array<int>, counts array<long>")
 
     def assign(group: pa.Table) -> pa.Table:
+        give_back()
         names, of, counted = known.value
         word, n, bounds, slots, counts = _merged(group, width)
         found = best_classes(bounds, slots, counts, counted, classes)
@@ -320,6 +323,7 @@ def _class_sequences(encoded: DataFrame, words: DataFrame, n: int, v: int, n_end
     totals = np.array([max(1, of_class.get(k, 0)) for k in range(classes)], float)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         lists = left["codes"].combine_chunks()
         codes, bounds = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
         code = np.asarray(right["code"])
@@ -373,6 +377,7 @@ def transitions(sequences: DataFrame, classes: int) -> np.ndarray:
     """Counts (before, class) with marks, 128 x 128, over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         total = np.zeros(128 * 128, np.int64)
         for b in batches:
             before, s, _ = _pairs(b, 0, classes)
