@@ -8,7 +8,8 @@ shards have them just below their local support leave it, and a second pass coun
 
 The share shrinks as shards grow in number, to one occurrence at last. What keeps the union from becoming
 everything are two passes before it, over hashes of words and of pairs of words: a frequent phrase
-holds no word and no pair below ``least``. Sets of hashes travel as bit filters of a fixed largest
+holds no word and no pair below ``least``. What a phrase has in the shards of one task is added up, in bounded
+memory, before it is sent. Sets of hashes travel as bit filters of a fixed largest
 size; one that is too full lets more phrases be counted, and loses none. So each pass sends at most a few rows for a
 word of text, whatever the corpus holds.
 """
@@ -27,11 +28,13 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import materialize, mix64, parts, ship, table
+from scenaria.llm.common import give_back, materialize, mix64, parts, ship, table
 
 LONGEST, LEAST, FIRST, COVERED = 5, 100, 2000, 100
 #: Bytes of text of a shard, and those that are taken apart at once.
-SHARD, AT_ONCE = 12 << 20, 4 << 20
+SHARD, AT_ONCE = 10 << 20, 4 << 20
+#: Rows of counts that a task adds up before it sends them on.
+POOL = 1 << 19
 #: Bits of a filter: 16 for each hash, between these powers of 2 (32 MB at most).
 FEWEST_BITS, MOST_BITS = 20, 28
 #: Slices of a language for the first ranking.
@@ -129,6 +132,7 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
             held, known, bytes_of, got = [], {}, {}, 0
             yield shard
             del shard
+            give_back()
     if held:
         yield take()
 
@@ -198,6 +202,31 @@ def bit_filter(hashes: DataFrame) -> Broadcast:
     return sc.broadcast(bits)
 
 
+def pooled(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows with equal columns but for ``n`` as one, their n added up. ``most`` new rows are added at once; what is
+    held is sent on when it is more than twice that."""
+    held: list[pa.RecordBatch] = []
+    new = 0
+
+    def together() -> pa.Table:
+        rows = pa.Table.from_batches(held)
+        return rows.group_by([c for c in rows.column_names if c != "n"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(rows.column_names)
+
+    for b in batches:
+        held.append(b)
+        new += b.num_rows
+        if new >= most:
+            rows, new = together(), 0
+            held = rows.to_batches()
+            if rows.num_rows > 2 * most:
+                yield from held
+                held = []
+            del rows
+            give_back()
+    if held:
+        yield from together().to_batches(max_chunksize=1 << 17)
+
+
 def _hash_counts(rows: DataFrame, longest: int, accept: Callable[[int, Level], np.ndarray], size: int) -> DataFrame:
     """(h, n) of the phrases of ``longest`` words in each shard, while ``accept`` holds for shorter ones."""
 
@@ -224,7 +253,11 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, lang_c
     totals = materialize(given.groupBy("lang").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("total")), "bytes")
     whole = totals.agg(F.sum("total")).first()[0] or 0
     # a shard is SHARD bytes however the input is cut: its share of the support must not depend on that
-    rows = given.join(totals, "lang").select("lang", "total", "text").coalesce(max(1, math.ceil(whole / size)))
+    tasks = max(1, math.ceil(whole / size))
+    given = given.join(totals, "lang").select("lang", "total", "text")
+    rows = given.coalesce(tasks)
+    # one task for each core takes its shards one by one, so that a phrase is sent once a task and not once a shard
+    few = given.coalesce(min(tasks, spark.sparkContext.defaultParallelism))
 
     all_of = lambda k, level: np.ones(len(level.count), bool)
     words = _frequent(_hash_counts(rows, 1, all_of, size), least)
@@ -249,7 +282,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, lang_c
 
     # A shard that doesn't report a phrase has its local support less one of it at most. So what the others have above
     # that must make up for the rest, or the phrase can't reach the support.
-    mined = materialize(rows.mapInArrow(mine, "h long, lang string, n long"), "mined")
+    mined = materialize(few.mapInArrow(lambda batches: pooled(mine(batches), POOL), "h long, lang string, n long"), "mined")
     most = mined.filter("h is null").groupBy("lang").agg((F.lit(least) - F.sum("n")).alias("missing"))
     above = mined.filter("h is not null").groupBy("h", "lang").agg(F.sum("n").alias("n"))
     found = above.join(materialize(most, "missing"), "lang").filter(F.col("n") >= F.col("missing")).select("h")
@@ -277,7 +310,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, lang_c
                 [names, pa.array(np.zeros(len(names), np.int32)), pa.nulls(len(names), pa.string()), pa.array(of_lang, pa.int64())], ["lang", "k", "phrase", "n"]
             )
 
-    counted = rows.mapInArrow(count, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    counted = few.mapInArrow(lambda batches: pooled(count(batches), POOL), "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     return counted.filter((F.col("k") == 0) | (F.col("n") >= least))
 
 

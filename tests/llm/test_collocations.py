@@ -116,3 +116,30 @@ def test_products_beyond_64_bits(spark):
 def test_whole_table(spark, sf_dir):
     rows = [(r.lang, r.text) for r in table(spark, sf_dir, "documents").collect()]
     assert sorted(map(tuple, c.op13_collocations(spark, sf_dir).collect())) == plain(rows, 100)
+
+
+def test_a_task_sends_a_phrase_once(spark, monkeypatch):
+    """Counts of the shards of a task are added up: the rows sent don't grow with the number of shards."""
+    sent, real = spark.sparkContext.accumulator(0), c.pooled
+
+    def noted(batches, most):
+        for b in real(batches, most):
+            sent.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(c, "pooled", noted)
+    rows = [("en", "big red dog house. new york city")] * 400
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    assert sorted(map(tuple, c.collocations(df, size=500).collect())) == plain(rows, 100)
+    assert sent.value < 100
+
+
+def test_pooled_rows_stay_bounded_and_whole():
+    batch = lambda words: pa.RecordBatch.from_arrays([pa.array(words), pa.array([1] * len(words), pa.int64())], ["phrase", "n"])
+    rng = random.Random(5)
+    given = [[rng.choice([None, "a", "b", *map(str, range(60))]) for _ in range(7)] for _ in range(50)]
+    total = Counter()
+    for b in c.pooled(map(batch, given), 10):
+        total.update(dict(zip(b["phrase"].to_pylist(), b["n"].to_pylist())))
+    assert total == Counter(w for words in given for w in words)
+    assert list(c.pooled(iter([]), 10)) == []
