@@ -32,9 +32,9 @@ from scenaria.llm.common import give_back, materialize, mix64, parts, ship, tabl
 
 LONGEST, LEAST, FIRST, COVERED = 5, 100, 2000, 100
 #: Bytes of text of a shard, and those that are taken apart at once.
-SHARD, AT_ONCE = 10 << 20, 4 << 20
+SHARD, AT_ONCE = 9 << 20, 4 << 20
 #: Rows of counts that a task adds up before it sends them on.
-POOL = 1 << 19
+POOL = 1 << 18
 #: Bits of a filter: 16 for each hash, between these powers of 2 (32 MB at most).
 FEWEST_BITS, MOST_BITS = 20, 28
 #: Slices of a language for the first ranking.
